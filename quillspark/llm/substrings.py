@@ -10,8 +10,8 @@ words of that document's own grid (blocks at multiples of BLOCK; 2 * BLOCK - 1 <
 3. The marked windows of a document join to maximal repeats, and the words that they cover are removed.
 
 Hashes travel packed, a row for each bucket and group of GROUP documents, so that a probe takes some six bytes.
-Anchors have 39 bits and their bucket's; what decides are hashes of 64 bits and those of their bucket, which another
-hash gives: texts are held equal if both agree. No window is compared with another: a passage that a third of all
+Anchors have 39 bits and their bucket's; what decides are hashes of 64 bits and the bucket, which another hash (the
+least of the window's blocks) gives: texts are held equal if both agree. No window is compared with another: a passage that a third of all
 documents share costs as much as any other words.
 
 Defined results: null text has no words; documents of fewer than LENGTH words have no window. Rows without a
@@ -182,11 +182,13 @@ def marked_windows(docs: DataFrame, found: DataFrame, bits: int, length: int = L
                 np.add.at(cover, np.maximum(0, at - (length - block)), 1)
                 np.add.at(cover, at + 1, -1)
                 start = np.flatnonzero(np.cumsum(cover)[:n])
-                parts.append((np.full(len(start), k), start, rolling(hashes, length, 0)[start], rolling(hashes, length, 1)[start]))
+                # the least block that a window holds decides its bucket: neighbouring windows mostly share it
+                least = np.lib.stride_tricks.sliding_window_view(blocks, length - block + 1).min(axis=1)[start] * np.uint64(_MULTIPLIERS[0])
+                parts.append((np.full(len(start), k), start, rolling(hashes, length, 1)[start], least >> np.uint64(64 - bits)))
             if not parts:
                 continue
-            owner, start, one, two = (np.concatenate(x) for x in zip(*parts, strict=True))
-            out = list(_rows_by_bucket((two >> np.uint64(64 - bits)).astype(np.int64), owner, len(ids), [(one, 8), (start.astype(np.uint64), 4)]))
+            owner, start, whole, bucket = (np.concatenate(x) for x in zip(*parts, strict=True))
+            out = list(_rows_by_bucket(bucket.astype(np.int64), owner, len(ids), [(whole, 8), (start.astype(np.uint64), 4)]))
             sent, tagged = np.array(ids, "<i8").tobytes(), np.array(tags, "<i4").tobytes()
             cols = [[x[0] for x in out], [sent] * len(out), [tagged] * len(out), [x[1] for x in out], [x[2][0] for x in out], [x[2][1] for x in out]]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if not k else pa.binary()) for k, c in enumerate(cols)], ["bucket", "ids", "tags", "counts", "hashes", "starts"])
