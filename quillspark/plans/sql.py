@@ -31,7 +31,7 @@ def quantity(text: str) -> str:
 def numeric(text: str) -> str:
     core = P.NUMERIC.removeprefix("(?<![A-Za-z])").removesuffix("(?![A-Za-z])")
     apart = f"regexp_replace({text}, '([-(),:;@#])', '\\1\\1', 'g')"  # as blanks are: no separator serves two numbers
-    return guarded(apart, "[^A-Za-z]", core, "(?:\\b|$|[^A-Za-z0-9])")
+    return guarded(apart, "[^A-Za-z]", core, "(?:\\b|$|[^A-Za-z])")
 
 
 def citation(text: str) -> str:

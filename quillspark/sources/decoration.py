@@ -16,7 +16,7 @@ TAILS = {
     6: " about 10<sup>−</sup><sup>1{m}</sup> and x<sub>i</sub> left",
     9: " with gm and VDD near Ipd and RCIN or f3dB by v1 done",
 }
-EXTRAS = {4: "Vout = Gain × Vin ({m})", 7: "{m}. Methods And Results", 8: "Fig. {m} Measured spectrum of the device"}
+EXTRAS = {2: "ω_c ≈ 3", 4: "Vout = Gain × Vin ({m})", 6: "I_d × g_m", 7: "{m}. Methods And Results", 8: "Fig. {m} Measured spectrum of the device"}
 #: What a translation changes, by t: SQL that both engines take, over text.
 CHANGES = {
     1: "replace(text, 'Fig. ', '图 ')",
@@ -39,11 +39,11 @@ SELECT doc_id, ord, page, slot, k, m, line, text, source_id, type,
   y0, y0 + h AS y1, CAST(CASE WHEN page = 1 AND slot = 0 THEN 18 ELSE 9 + k % 3 END AS DOUBLE) AS font_size,
   t, t = 11 AS vision,
   CASE t {cases} ELSE text END AS translated
-FROM (SELECT *, CAST(CASE WHEN page % 7 = 0 AND slot = 0 THEN 10 WHEN page % 5 = 0 AND slot = 4 THEN 760 ELSE 60 + 110 * (slot % 3) END AS DOUBLE) AS y0,
+FROM (SELECT *, CAST(CASE WHEN page % 7 = 0 AND slot = 0 THEN 10 WHEN page % 5 = 0 AND slot = 4 THEN 760 WHEN type = 'formula' THEN 60 + 110 * ((slot + 1) % 3) ELSE 60 + 110 * (slot % 3) END AS DOUBLE) AS y0,
     CAST(CASE WHEN type = 'formula' THEN 20 ELSE least(100, 12 + 12 * floor(length(text) / 50)) END AS DOUBLE) AS h,
     'b_' || page || '_' || ord AS source_id
   FROM (SELECT *, CAST(floor(ord / 6) AS BIGINT) + 1 AS page, ord % 6 AS slot, (coalesce(doc_id, 0) * 3 + ord) % 12 AS t,
-      CASE WHEN ord % 2 = 1 AND k = 4 THEN 'formula' WHEN ord % 2 = 1 AND k = 7 THEN 'section' WHEN ord % 2 = 1 THEN 'caption' ELSE 'paragraph' END AS type
+      CASE WHEN ord % 2 = 1 AND k = 4 THEN 'formula' WHEN ord % 2 = 1 AND k = 7 THEN 'section' WHEN ord % 2 = 1 AND k = 8 THEN 'caption' ELSE 'paragraph' END AS type
     FROM {parts}) a) b
 """.replace("{cases}", _CASES)
 
@@ -54,7 +54,7 @@ def _cases(texts: dict[int, str], line: str) -> str:
 
 
 _LINES = "SELECT doc_id, no, line, (coalesce(doc_id, 0) * 7 + no) % 10 AS k, no % 9 + 1 AS m, coalesce(doc_id, 0) % 90 + 10 AS n FROM ({raw}) r WHERE line <> ''"
-_PARTS = f"""SELECT doc_id, no * 2 + part AS ord, k, m, line, CASE WHEN part = 0 THEN CASE k {_cases(TAILS, "line")} ELSE line END ELSE CASE k {_cases(EXTRAS, "")} END END AS text FROM (SELECT * FROM ({{lines}}) l CROSS JOIN (VALUES (0), (1)) p(part)) c WHERE part = 0 OR k IN (4, 7, 8)"""
+_PARTS = f"""SELECT doc_id, no * 2 + part AS ord, k, m, line, CASE WHEN part = 0 THEN CASE k {_cases(TAILS, "line")} ELSE line END ELSE CASE k {_cases(EXTRAS, "")} END END AS text FROM (SELECT * FROM ({{lines}}) l CROSS JOIN (VALUES (0), (1)) p(part)) c WHERE part = 0 OR k IN (2, 4, 6, 7, 8)"""
 
 #: A common table expression ``b`` for DuckDB.
 BLOCKS_SQL = "b AS (" + _LAID.replace("{parts}", "(" + _PARTS.replace("{lines}", _LINES.replace("{raw}", r"SELECT doc_id, CAST(i - 1 AS BIGINT) AS no, trim(regexp_replace(w[i], '[ \t\r]+', ' ', 'g')) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents) s, unnest(range(1, len(w) + 1)) u(i)")) + ") q") + ")"
