@@ -12,11 +12,10 @@ from quillspark.operators import documents as D
 from quillspark.operators import restore as R
 from quillspark.operators import translate as M
 from quillspark.plans import sql as S
-from quillspark.plans.fidelity import TOKEN_LISTS, block_table
+from quillspark.plans.fidelity import TOKEN_LISTS, block_table, text, translated
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-text, translated = F.col("text"), F.col("translated")
 
 
 def query(name: str, oracle: str | None = None):
@@ -77,7 +76,7 @@ _STOP = ", ".join(map(S.q, P.STOP_WORDS))
 def candidates_native(spark, d) -> DataFrame:
     """Matches of every rule by built-in functions: doc_id, rule, original."""
     def of(name, pattern):
-        return F.transform(T.extract(text, pattern), lambda x: F.struct(F.lit(name).alias("rule"), x.alias("original")))
+        return F.transform(T.extract(text(), pattern), lambda x: F.struct(F.lit(name).alias("rule"), x.alias("original")))
 
     each = F.concat(*[of(name, p) for name, p, _ in P.CANDIDATE_RULES])
     rows = block_table(spark, d).select("doc_id", F.explode(each).alias("c")).select("doc_id", "c.rule", "c.original")
@@ -213,7 +212,7 @@ def mask_secret(spark, d):
 
 @query("chat_messages", f"WITH {_CONFIG} SELECT item_id, CASE WHEN model = 'qwen-mt-plus' THEN 'user' ELSE 'system|user' END AS roles, CASE WHEN model = 'qwen-mt-plus' THEN 'Be exact.' || chr(10) || chr(10) || text ELSE text END AS content FROM cf")
 def chat_messages(spark, d):
-    turns = D.messages(F.col("model"), F.lit("Be exact."), text)
+    turns = D.messages(F.col("model"), F.lit("Be exact."), text())
     rows = configs(spark, d).select("item_id", turns.alias("t"))
     return rows.select("item_id", F.array_join(F.transform("t", lambda x: x.role), "|").alias("roles"), F.element_at("t", -1).content.alias("content"))
 
@@ -236,7 +235,7 @@ def model_map_stub(spark, d):
 def layout_translation_join(spark, d):
     """Blocks with their last translation: two thirds have one, even ones two."""
     rows = block_table(spark, d)
-    built = rows.where("ord % 3 <> 0").select("doc_id", "source_id", F.posexplode(F.when(F.col("ord") % 2 == 0, F.array(translated, F.concat(translated, F.lit(" (2)")))).otherwise(F.array(translated))).alias("seq", "t"))
+    built = rows.where("ord % 3 <> 0").select("doc_id", "source_id", F.posexplode(F.when(F.col("ord") % 2 == 0, F.array(translated(), F.concat(translated(), F.lit(" (2)")))).otherwise(F.array(translated()))).alias("seq", "t"))
     last = built.groupBy("doc_id", "source_id").agg(F.max_by("t", "seq").alias("last"))
     return rows.alias("a").join(last.alias("l"), F.col("a.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("a.source_id") == F.col("l.source_id")), "left").select("a.doc_id", "ord", "last")
 
@@ -245,8 +244,8 @@ def layout_translation_join(spark, d):
 def fallback_merge(spark, d):
     """Failed rows take their new translation, of which each second even one succeeds."""
     rows = block_table(spark, d).select("doc_id", "ord", "source_id", "text", "translated")
-    new = M.map_model(rows.where(F.startswith(translated, F.lit(P.FAILED)) & (F.col("ord") % 4 == 0)).drop("translated"), M.StubTranslator())
-    merged = M.upsert(rows, new, ["doc_id", "source_id"], ["translated"], F.startswith(translated, F.lit(P.FAILED)) & ~F.startswith("new_translated", F.lit(P.FAILED)))
+    new = M.map_model(rows.where(F.startswith(translated(), F.lit(P.FAILED)) & (F.col("ord") % 4 == 0)).drop("translated"), M.StubTranslator())
+    merged = M.upsert(rows, new, ["doc_id", "source_id"], ["translated"], F.startswith(translated(), F.lit(P.FAILED)) & ~F.startswith("new_translated", F.lit(P.FAILED)))
     return merged.select("doc_id", "ord", "translated")
 
 
@@ -254,19 +253,19 @@ def fallback_merge(spark, d):
 def repair_merge(spark, d):
     """Failed rows take a repair that keeps their symbols; here, repairs of lines of k = 2 lose theirs."""
     rows = block_table(spark, d).select("doc_id", "ord", "k", "source_id", "text", "translated")
-    repaired = F.when((F.col("k") == 2) & (F.col("ord") % 2 == 0), F.regexp_replace("text", "[≤≠]", "")).otherwise(text)
+    repaired = F.when((F.col("k") == 2) & (F.col("ord") % 2 == 0), F.regexp_replace("text", "[≤≠]", "")).otherwise(text())
     new = rows.select("doc_id", "source_id", F.concat(repaired, F.lit(" 修复")).alias("translated"))
-    new = new.withColumn("ok", T.stripped(translated) != "")
-    change = T.symbol_changes(text, F.col("new_translated"))
-    accepts = F.startswith(translated, F.lit(P.FAILED)) & (F.col("new_translated") != "") & ~F.startswith("new_translated", F.lit(P.FAILED)) & (F.size(change.added) == 0) & (F.size(change.removed) == 0)
+    new = new.withColumn("ok", T.stripped(translated()) != "")
+    change = T.symbol_changes(text(), F.col("new_translated"))
+    accepts = F.startswith(translated(), F.lit(P.FAILED)) & (F.col("new_translated") != "") & ~F.startswith("new_translated", F.lit(P.FAILED)) & (F.size(change.added) == 0) & (F.size(change.removed) == 0)
     return M.upsert(rows, new, ["doc_id", "source_id"], ["translated"], accepts).select("doc_id", "ord", "translated")
 
 
 @query("retranslate_block", S.with_blocks("SELECT doc_id, source_id, CASE WHEN ord = 0 THEN '人工: ' || text ELSE translated END AS translated, CASE WHEN ord = 0 THEN true ELSE translated <> '' AND NOT starts_with(translated, '[翻译失败:') END AS valid FROM b"))
 def retranslate_block(spark, d):
     """The first block of each document gets a manual text; whether each block is now translated."""
-    now = F.when(F.col("ord") == 0, F.concat(F.lit("人工: "), text)).otherwise(translated)
-    return block_table(spark, d).select("doc_id", "source_id", now.alias("translated")).withColumn("valid", (translated != "") & ~F.startswith(translated, F.lit(P.FAILED)))
+    now = F.when(F.col("ord") == 0, F.concat(F.lit("人工: "), text())).otherwise(translated())
+    return block_table(spark, d).select("doc_id", "source_id", now.alias("translated")).withColumn("valid", (translated() != "") & ~F.startswith(translated(), F.lit(P.FAILED)))
 
 
 @query("page_context", S.with_blocks("SELECT doc_id, page, lag(last_text) OVER w AS before, lead(first_text) OVER w AS after FROM (SELECT doc_id, page, arg_max(c, ord) AS last_text, arg_min(c, ord) AS first_text FROM (SELECT doc_id, page, ord, CASE WHEN length(sq) > 320 THEN substr(sq, 1, 319) || '…' ELSE sq END AS c FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS sq FROM b) z) y GROUP BY doc_id, page) x WINDOW w AS (PARTITION BY doc_id ORDER BY page)"))
@@ -309,11 +308,11 @@ def page_totals(spark, d):
 def qa_rows(spark, d) -> DataFrame:
     """What each block contributes to its document's summary."""
     rows = block_table(spark, d)
-    formula = ~F.col("translate") & (F.col("type") == "formula") & (T.stripped(text) != T.stripped(translated))
-    blank = F.col("translate") & ((T.stripped(translated) == "") | F.startswith(translated, F.lit(P.FAILED)))
-    checked = F.col("translate") & ~blank & ~F.startswith(translated, F.lit(P.ABSORBED))
-    source, target = T.merge_scripts(text), T.merge_scripts(translated)
-    kept = rows.select("doc_id", "ord", "source_id", "vision", formula.alias("rewritten"), blank.alias("blank"), F.when(checked, T.missing_tokens(source, target)).alias("lost"), F.when(checked, T.symbol_changes(source, target)).alias("change"), F.when(checked, T.missing_figures(text, translated)).alias("refs"))
+    formula = ~F.col("translate") & (F.col("type") == "formula") & (T.stripped(text()) != T.stripped(translated()))
+    blank = F.col("translate") & ((T.stripped(translated()) == "") | F.startswith(translated(), F.lit(P.FAILED)))
+    checked = F.col("translate") & ~blank & ~F.startswith(translated(), F.lit(P.ABSORBED))
+    source, target = T.merge_scripts(text()), T.merge_scripts(translated())
+    kept = rows.select("doc_id", "ord", "source_id", "vision", formula.alias("rewritten"), blank.alias("blank"), F.when(checked, T.missing_tokens(source, target)).alias("lost"), F.when(checked, T.symbol_changes(source, target)).alias("change"), F.when(checked, T.missing_figures(text(), translated())).alias("refs"))
     cites = lambda t: t.rlike(r"(?i)\[\d+|Fig\.|Table|Eq\.")
     units = lambda t: ~cites(t) & t.rlike(r"(?i)dB|mW|nm|Gb/s|%|mm")
     drift = F.coalesce((F.size("change.added") > 0) | (F.size("change.removed") > 0), F.lit(False))
@@ -363,16 +362,16 @@ _VALID = "translate AND translated <> '' AND NOT starts_with(translated, '[翻
 @query("report_rollup", S.with_blocks(f"SELECT doc_id, sum(t)::BIGINT AS translated_blocks, sum(p)::BIGINT AS protected, sum(a)::BIGINT AS absorbed, sum(r)::BIGINT AS retained, CASE WHEN sum(r) > 0 THEN 'needs_review' ELSE 'passed' END AS status, count(*) AS pages FROM (SELECT doc_id, page, count(*) FILTER ({_VALID}) AS t, count(*) FILTER (NOT translate) AS p, count(*) FILTER (starts_with(translated, '[MERGED_INTO:')) AS a, count(*) FILTER (translate AND (translated = '' OR starts_with(translated, '[翻译失败:'))) AS r FROM b GROUP BY doc_id, page) z GROUP BY doc_id"))
 def report_rollup(spark, d):
     """Page reports, then the document's."""
-    failed = F.col("translate") & ((translated == "") | F.startswith(translated, F.lit(P.FAILED)))
-    absorbed = F.startswith(translated, F.lit(P.ABSORBED))
+    failed = F.col("translate") & ((translated() == "") | F.startswith(translated(), F.lit(P.FAILED)))
+    absorbed = F.startswith(translated(), F.lit(P.ABSORBED))
     pages = block_table(spark, d).groupBy("doc_id", "page").agg(F.count_if(F.col("translate") & ~failed & ~absorbed).alias("t"), F.count_if(~F.col("translate")).alias("p"), F.count_if(absorbed).alias("a"), F.count_if(failed).alias("r"))
     return pages.groupBy("doc_id").agg(F.sum("t").alias("translated_blocks"), F.sum("p").alias("protected"), F.sum("a").alias("absorbed"), F.sum("r").alias("retained"), F.when(F.sum("r") > 0, "needs_review").otherwise("passed").alias("status"), F.count("*").alias("pages"))
 
 
 @query("pipeline_counters", S.with_blocks("SELECT doc_id, count(*) FILTER (vision AND translate) AS vision_blocks, count(*) FILTER (starts_with(translated, '[翻译失败:') AND ord % 4 = 0) AS fallbacks, count(*) FILTER (starts_with(translated, '[翻译失败:') AND ord % 4 <> 0) AS repairs, count(*) FILTER (starts_with(translated, '[MERGED_INTO:')) AS merges FROM b GROUP BY doc_id"))
 def pipeline_counters(spark, d):
-    failed = F.startswith(translated, F.lit(P.FAILED))
-    return block_table(spark, d).groupBy("doc_id").agg(F.count_if(F.col("vision") & F.col("translate")).alias("vision_blocks"), F.count_if(failed & (F.col("ord") % 4 == 0)).alias("fallbacks"), F.count_if(failed & (F.col("ord") % 4 != 0)).alias("repairs"), F.count_if(F.startswith(translated, F.lit(P.ABSORBED))).alias("merges"))
+    failed = F.startswith(translated(), F.lit(P.FAILED))
+    return block_table(spark, d).groupBy("doc_id").agg(F.count_if(F.col("vision") & F.col("translate")).alias("vision_blocks"), F.count_if(failed & (F.col("ord") % 4 == 0)).alias("fallbacks"), F.count_if(failed & (F.col("ord") % 4 != 0)).alias("repairs"), F.count_if(F.startswith(translated(), F.lit(P.ABSORBED))).alias("merges"))
 
 
 @query("progress", S.with_blocks("SELECT doc_id, page, round(5 + 90 * ((p - 1) + 0.8::DOUBLE) / n, 6) AS middle, round(5 + 90 * p::DOUBLE / n, 6) AS done FROM (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS p, count(*) OVER (PARTITION BY doc_id) AS n FROM (SELECT DISTINCT doc_id, page FROM b) z) y"))

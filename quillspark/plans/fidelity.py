@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +20,11 @@ def block_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def over_blocks(name: str, columns: dict[str, Column], oracle: dict[str, str] | None, more: str = "") -> None:
-    """A query that computes columns for each block."""
+def over_blocks(name: str, columns: Callable[[], dict[str, Column]], oracle: dict[str, str] | None, more: str = "") -> None:
+    """A query that computes columns for each block; columns are made when it runs, as they need a session."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return block_table(spark, sf_dir).select("doc_id", "ord", *[c.alias(k) for k, c in columns.items()])
+        return block_table(spark, sf_dir).select("doc_id", "ord", *[c.alias(k) for k, c in columns().items()])
 
     QUERIES[name] = query
     if oracle:
@@ -33,7 +35,13 @@ def bar(items: Column) -> Column:
     return F.array_join(items, "|")
 
 
-text, translated = F.col("text"), F.col("translated")
+def text() -> Column:
+    return F.col("text")
+
+
+def translated() -> Column:
+    return F.col("translated")
+
 
 for key, pattern, sql in (
     ("extract_quantity", P.QUANTITY, S.quantity("text")),
@@ -43,30 +51,35 @@ for key, pattern, sql in (
     ("extract_subscript_var", P.SUBSCRIPT_VARIABLE, S.subscript_variable("text")),
     ("extract_dates", P.DATE, S.dates("text")),
 ):
-    over_blocks(key, {"n": F.size(T.extract(text, pattern)).cast("long"), "found": bar(T.extract(text, pattern))}, {"n": f"len({sql})::BIGINT", "found": S.joined(sql)})
-over_blocks("extract_fig_refs_loc", {"found": bar(T.extract(translated, P.FIGURE_LOCALISED))}, {"found": S.joined(S.figure_localised("translated"))})
-over_blocks("protected_tokens", {"tokens": bar(T.protected_tokens(text))}, {"tokens": S.joined(S.first_seen("toks"))}, "")
+    over_blocks(key, lambda pattern=pattern: {"n": F.size(T.extract(text(), pattern)).cast("long"), "found": bar(T.extract(text(), pattern))}, {"n": f"len({sql})::BIGINT", "found": S.joined(sql)})
+over_blocks("extract_fig_refs_loc", lambda: {"found": bar(T.extract(translated(), P.FIGURE_LOCALISED))}, {"found": S.joined(S.figure_localised("translated"))})
+over_blocks("protected_tokens", lambda: {"tokens": bar(T.protected_tokens(text()))}, {"tokens": S.joined(S.first_seen("toks"))}, "")
 ORACLES["protected_tokens"] = S.with_blocks(f"SELECT doc_id, ord, {S.joined(S.first_seen('toks'))} AS tokens FROM (SELECT doc_id, ord, {S.tokens('text')} AS toks FROM b) z")
-over_blocks("visible_prose", {"prose": T.visible_prose(text)}, {"prose": S.prose("text")})
-over_blocks("merge_scripts", {"merged": T.merge_scripts(text)}, {"merged": S.merged("text")})
-over_blocks("fold_digits", {"folded": T.fold_digits(translated)}, {"folded": S.folded("translated")})
-over_blocks("formula_predicate", {"is_formula": T.looks_like_formula(text)}, {"is_formula": S.formula("text")})
-over_blocks("text_clip", {"short": T.clip(text, 220), "longer": T.clip(text, 320)}, {k: f"CASE WHEN length(c) > {n} THEN substr(c, 1, {n - 1}) || '…' ELSE c END" for k, n in (("short", 220), ("longer", 320))})
+over_blocks("visible_prose", lambda: {"prose": T.visible_prose(text())}, {"prose": S.prose("text")})
+over_blocks("merge_scripts", lambda: {"merged": T.merge_scripts(text())}, {"merged": S.merged("text")})
+over_blocks("fold_digits", lambda: {"folded": T.fold_digits(translated())}, {"folded": S.folded("translated")})
+over_blocks("formula_predicate", lambda: {"is_formula": T.looks_like_formula(text())}, {"is_formula": S.formula("text")})
+over_blocks("text_clip", lambda: {"short": T.clip(text(), 220), "longer": T.clip(text(), 320)}, {k: f"CASE WHEN length(c) > {n} THEN substr(c, 1, {n - 1}) || '…' ELSE c END" for k, n in (("short", 220), ("longer", 320))})
 ORACLES["text_clip"] = S.with_blocks("SELECT doc_id, ord, " + ", ".join(f"CASE WHEN length(c) > {n} THEN substr(c, 1, {n - 1}) || '…' ELSE c END AS {k}" for k, n in (("short", 220), ("longer", 320))) + " FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS c FROM b) z")
 
 
 def _symbol_counts(spark, sf_dir):
-    rows = block_table(spark, sf_dir).select("doc_id", F.explode(T.symbols(text)).alias("symbol"))
+    rows = block_table(spark, sf_dir).select("doc_id", F.explode(T.symbols(text())).alias("symbol"))
     return rows.groupBy("doc_id", "symbol").agg(F.count("*").alias("n"))
 
 
 QUERIES["symbol_counts"] = _symbol_counts
 ORACLES["symbol_counts"] = S.with_blocks(f"SELECT doc_id, symbol, count(*) AS n FROM (SELECT doc_id, unnest({S.symbols('text')}) AS symbol FROM b) z GROUP BY doc_id, symbol")
 
-change = T.symbol_changes(text, translated)
+
+
+def change() -> Column:
+    return T.symbol_changes(text(), translated())
+
+
 pairs = lambda xs: bar(F.transform(xs, lambda c: F.concat(c.symbol, F.lit(":"), c.n.cast("string"))))
-over_blocks("symbol_compare", {"same": (F.size(change.added) == 0) & (F.size(change.removed) == 0), "added": pairs(change.added), "removed": pairs(change.removed)}, None)
-over_blocks("symbol_diff_text", {"diff": T.symbol_diff_text(change.added, change.removed)}, None)
+over_blocks("symbol_compare", lambda: {"same": (F.size(change().added) == 0) & (F.size(change().removed) == 0), "added": pairs(change().added), "removed": pairs(change().removed)}, None)
+over_blocks("symbol_diff_text", lambda: {"diff": T.symbol_diff_text(change().added, change().removed)}, None)
 _n = lambda xs, s="s": f"len(list_filter({xs}, lambda z: z = {s}))"
 _SYM = f"z AS (SELECT doc_id, ord, {S.symbols('text')} AS a, {S.symbols('translated')} AS bb FROM b), y AS (SELECT *, list_sort(list_distinct(list_concat(a, bb))) AS ss FROM z), x AS (SELECT doc_id, ord, list_filter(ss, lambda s: {_n('bb')} > {_n('a')} AND NOT contains('{P.EXTRA_SYMBOLS}', s)) AS p, list_filter(ss, lambda s: {_n('bb')} < {_n('a')}) AS r, a, bb FROM y)"
 _LIST = {"p": f"lambda s: {{}}({_n('bb')} - {_n('a')})", "r": f"lambda s: {{}}({_n('a')} - {_n('bb')})"}
@@ -80,15 +93,15 @@ ORACLES["symbol_diff_text"] = S.with_blocks(
 def _symbol_removed(spark, sf_dir):
     rows = block_table(spark, sf_dir)
     each = lambda c: rows.select("doc_id", F.explode(T.symbols(c)).alias("symbol"))
-    return each(text).exceptAll(each(translated)).groupBy("doc_id", "symbol").agg(F.count("*").alias("n"))
+    return each(text()).exceptAll(each(translated())).groupBy("doc_id", "symbol").agg(F.count("*").alias("n"))
 
 
 QUERIES["symbol_removed"] = _symbol_removed
 ORACLES["symbol_removed"] = S.with_blocks(f"SELECT doc_id, symbol, count(*) AS n FROM (SELECT doc_id, unnest({S.symbols('text')}) AS symbol FROM b EXCEPT ALL SELECT doc_id, unnest({S.symbols('translated')}) FROM b) z GROUP BY doc_id, symbol")
 
-over_blocks("fig_ref_key", {"keys": bar(F.transform(T.extract(translated, P.FIGURE_LOCALISED), T.figure_key))}, {"keys": S.joined(f"list_transform({S.figure_localised('translated')}, lambda f: {S.figure_key('f')})")})
-over_blocks("missing_fig_refs", {"missing": bar(T.missing_figures(text, translated))}, {"missing": S.joined(S.missing_figures("text", "translated"))})
-over_blocks("missing_tokens", {"missing": bar(T.missing_tokens(text, translated))}, None)
+over_blocks("fig_ref_key", lambda: {"keys": bar(F.transform(T.extract(translated(), P.FIGURE_LOCALISED), T.figure_key))}, {"keys": S.joined(f"list_transform({S.figure_localised('translated')}, lambda f: {S.figure_key('f')})")})
+over_blocks("missing_fig_refs", lambda: {"missing": bar(T.missing_figures(text(), translated()))}, {"missing": S.joined(S.missing_figures("text", "translated"))})
+over_blocks("missing_tokens", lambda: {"missing": bar(T.missing_tokens(text(), translated()))}, None)
 #: Rows with the token lists that S.missing_tokens needs.
 TOKEN_LISTS = f"tok AS (SELECT *, {S.first_seen('s0')} AS src, {S.first_seen('t0')} AS tgt FROM (SELECT *, {S.tokens('text')} AS s0, {S.tokens('translated')} AS t0, {S.figure('text')} AS src_figs FROM b) z)"
 ORACLES["missing_tokens"] = S.with_blocks(f"SELECT doc_id, ord, {S.joined(S.first_seen('lost'))} AS missing FROM (SELECT doc_id, ord, {S.missing_tokens('text', 'translated')} AS lost FROM tok) y", TOKEN_LISTS)
@@ -97,7 +110,7 @@ ORACLES["missing_tokens"] = S.with_blocks(f"SELECT doc_id, ord, {S.joined(S.firs
 
 
 def _mask_text(spark, sf_dir):
-    rows = block_table(spark, sf_dir).select("doc_id", "ord", T.mask(text).alias("m"))
+    rows = block_table(spark, sf_dir).select("doc_id", "ord", T.mask(text()).alias("m"))
     return rows.select("doc_id", "ord", "m.masked", bar(F.transform("m.atoms", lambda x: x.atom)).alias("atoms"))
 
 
@@ -105,17 +118,17 @@ QUERIES["mask_text"] = _mask_text
 
 
 def _mask_roundtrip(spark, sf_dir):
-    rows = block_table(spark, sf_dir).select("doc_id", "ord", T.mask(text).alias("m"))
+    rows = block_table(spark, sf_dir).select("doc_id", "ord", T.mask(text()).alias("m"))
     return rows.select("doc_id", "ord", T.unmask(F.col("m.masked"), F.col("m.atoms")).alias("restored"))
 
 
 QUERIES["mask_roundtrip"] = _mask_roundtrip
 ORACLES["mask_roundtrip"] = S.with_blocks(f"SELECT doc_id, ord, {S.merged('text')} AS restored FROM b")
-over_blocks("segment_roundtrip", {"assembled": F.array_join(F.transform(T.segments(text), lambda s: s.source), "")}, {"assembled": "text"})
+over_blocks("segment_roundtrip", lambda: {"assembled": F.array_join(F.transform(T.segments(text()), lambda s: s.source), "")}, {"assembled": "text"})
 
 
 def _segment_split(spark, sf_dir):
-    rows = block_table(spark, sf_dir).select("doc_id", "ord", F.posexplode(T.segments(text)).alias("pos", "s"))
+    rows = block_table(spark, sf_dir).select("doc_id", "ord", F.posexplode(T.segments(text())).alias("pos", "s"))
     return rows.select("doc_id", "ord", F.col("pos").cast("long").alias("pos"), "s.kind", "s.source")
 
 
@@ -123,7 +136,7 @@ QUERIES["segment_split"] = _segment_split
 
 
 def _prompt_payload(spark, sf_dir):
-    rows = block_table(spark, sf_dir).where("translate").select("doc_id", "ord", T.segments(text).alias("s"))
+    rows = block_table(spark, sf_dir).where("translate").select("doc_id", "ord", T.segments(text()).alias("s"))
     named = F.transform("s", lambda s, i: F.struct(F.concat(F.lit("U0S"), i.cast("string")).alias("id"), s.kind.alias("kind"), s.source.alias("source")))
     words = lambda s: (s.kind == "text") & (T.stripped(s.source) != "")
     rows = rows.withColumn("s", named)
@@ -135,11 +148,10 @@ def _prompt_payload(spark, sf_dir):
 QUERIES["prompt_payload"] = _prompt_payload
 
 _PLAIN_ATOMS = (P.SCRIPT_RUN, P.CITATION, P.SYMBOL)
-picked = T.picked_spans(text, list(enumerate(_PLAIN_ATOMS)))
-over_blocks("span_pick", {"picked": bar(F.transform(picked, lambda s: F.substring(text, s.start + 1, s["size"])))}, {"picked": S.joined(S.every("text", "(?s:" + "|".join(p.replace("(?s)", "") for p in _PLAIN_ATOMS) + ")"))})
+over_blocks("span_pick", lambda: {"picked": bar(F.transform(T.picked_spans(text(), list(enumerate(_PLAIN_ATOMS))), lambda s: F.substring(text(), s.start + 1, s["size"])))}, {"picked": S.joined(S.every("text", "(?s:" + "|".join(p.replace("(?s)", "") for p in _PLAIN_ATOMS) + ")"))})
 
-over_blocks("legacy_unwrap", {"text": T.unwrap_prose_scripts(F.concat(F.lit("<sup>one two three words</sup> "), text), F.concat(F.lit("<sup>one two three words</sup> "), text))}, {"text": "'one two three words ' || text"})
-over_blocks("html_prose", {"html": T.html_prose(translated)}, None)
+over_blocks("legacy_unwrap", lambda: {"text": T.unwrap_prose_scripts(F.concat(F.lit("<sup>one two three words</sup> "), text()), F.concat(F.lit("<sup>one two three words</sup> "), text()))}, {"text": "'one two three words ' || text"})
+over_blocks("html_prose", lambda: {"html": T.html_prose(translated())}, None)
 
 def _html_sql(t: str) -> str:
     for a, b in (("<sub>", "«sub»"), ("</sub>", "«/sub»"), ("<sup>", "«sup»"), ("</sup>", "«/sup»"), ("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"), ("«", "<"), ("»", ">")):
@@ -155,7 +167,7 @@ ORACLES["html_prose"] = S.with_blocks(f"SELECT doc_id, ord, regexp_replace(h, '(
 
 
 def _peel(spark, sf_dir):
-    rows = block_table(spark, sf_dir).select("doc_id", "ord", F.concat(text, F.lit(" √")).alias("a"), F.concat(F.element_at(F.array(*map(F.lit, ("I_d rises", "I d rises", "X_y falls", "the rest"))), (F.col("ord") % 4 + 1).cast("int"))).alias("c"))
+    rows = block_table(spark, sf_dir).select("doc_id", "ord", F.concat(text(), F.lit(" √")).alias("a"), F.concat(F.element_at(F.array(*map(F.lit, ("I_d rises", "I d rises", "X_y falls", "the rest"))), (F.col("ord") % 4 + 1).cast("int"))).alias("c"))
     token = F.regexp_extract("c", P.RADICAND, 0)
     plain = T.squeezed(T.visible_prose(token))
     radicand = F.when(plain.rlike("(?i)^I_?d$"), "I_d").otherwise(plain)
@@ -168,9 +180,9 @@ ORACLES["peel_radical"] = S.with_blocks("SELECT doc_id, ord, CASE WHEN ord % 4 <
 
 # ---- replies and validation
 
-over_blocks("validate_soft", {"error": T.soft_error(text, translated)}, None)
-over_blocks("validate_hard", {"error": T.hard_error(text, translated)}, None)
-over_blocks("validate_structured", {"error": T.structured_error(text, translated)}, None)
+over_blocks("validate_soft", lambda: {"error": T.soft_error(text(), translated())}, None)
+over_blocks("validate_hard", lambda: {"error": T.hard_error(text(), translated())}, None)
+over_blocks("validate_structured", lambda: {"error": T.structured_error(text(), translated())}, None)
 _LOST = f"fig AS (SELECT *, list_slice({S.missing_figures('text', 'translated')}, 1, 5) AS lost, {S.missing_tokens('text', 'translated')} AS gone FROM tok)"
 _plain = S.squeezed("translated")
 _number = "regexp_extract(t, '^[+−-]?\\d+(?:\\.\\d+)?')"
@@ -233,18 +245,30 @@ ORACLES["missing_ids"] = S.with_blocks("SELECT doc_id, source_id, '[翻译失败
 
 # ---- states
 
-ends = F.rtrim(T.visible_prose(text))
+
+
+def ends() -> Column:
+    return F.rtrim(T.visible_prose(text()))
+
+
 over_blocks(
     "sentence_state",
-    {"incomplete": (ends != "") & ~ends.rlike("[.!?。！？:：;]$"), "orphan_math": ends.rlike(r"√\s*$") | ends.rlike(P.OPEN_RELATION), "continues": F.ltrim(T.visible_prose(text)).rlike(r"^[\p{Ll}，,;；)）]")},
+    lambda: {"incomplete": (ends() != "") & ~ends().rlike("[.!?。！？:：;]$"), "orphan_math": ends().rlike(r"√\s*$") | ends().rlike(P.OPEN_RELATION), "continues": F.ltrim(T.visible_prose(text())).rlike(r"^[\p{Ll}，,;；)）]")},
     {"incomplete": f"{S.prose('text')} <> '' AND NOT regexp_matches(rtrim({S.prose('text')}), '[.!?。！？:：;]$')", "orphan_math": f"regexp_matches({S.prose('text')}, '(√|[∝≈=≤≥≠±×·⋅])\\s*$')", "continues": f"regexp_matches(ltrim({S.prose('text')}), '^[\\p{{Ll}}，,;；)）]')"},
 )
 over_blocks(
     "status_from_sentinel",
-    {"status": F.when(F.startswith(translated, F.lit(P.FAILED)), "failed").when(F.startswith(translated, F.lit(P.ABSORBED)), "absorbed").when(~F.col("translate"), "passthrough").when(T.stripped(translated) == "", "failed").otherwise("ok"), "target": F.regexp_extract(translated, r"^\[MERGED_INTO:(.+?)\]$", 1)},
+    lambda: {"status": F.when(F.startswith(translated(), F.lit(P.FAILED)), "failed").when(F.startswith(translated(), F.lit(P.ABSORBED)), "absorbed").when(~F.col("translate"), "passthrough").when(T.stripped(translated()) == "", "failed").otherwise("ok"), "target": F.regexp_extract(translated(), r"^\[MERGED_INTO:(.+?)\]$", 1)},
     {"status": "CASE WHEN starts_with(translated, '[翻译失败:') THEN 'failed' WHEN starts_with(translated, '[MERGED_INTO:') THEN 'absorbed' WHEN NOT translate THEN 'passthrough' WHEN translated = '' THEN 'failed' ELSE 'ok' END", "target": "regexp_extract(translated, '^\\[MERGED_INTO:(.+?)\\]$', 1)"},
 )
-noisy = F.concat(text, F.element_at(F.array(*map(F.lit, ("", "\x07", "�", "\t"))), (F.col("ord") % 4 + 1).cast("int")))
-clean = F.regexp_replace(noisy, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]", "")
-over_blocks("control_gate", {"clean": F.when(F.contains(clean, F.lit("�")) | (T.stripped(clean) == ""), F.lit(None)).otherwise(clean)}, {"clean": "CASE ord % 4 WHEN 2 THEN NULL WHEN 3 THEN text || chr(9) ELSE text END"})
-over_blocks("translatable_filter", {"type": F.col("type"), "translatable": F.col("type").isin(*P.TRANSLATABLE)}, {"type": "type", "translatable": "type IN ('title', 'abstract', 'section', 'paragraph', 'caption', 'table_text', 'footnote')"})
+
+
+def gated() -> Column:
+    """The text with a control code, a replacement character or a tab behind it, cleaned; null where it can't be."""
+    noisy = F.concat(text(), F.element_at(F.array(*map(F.lit, ("", "\x07", "\ufffd", "\t"))), (F.col("ord") % 4 + 1).cast("int")))
+    clean = F.regexp_replace(noisy, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]", "")
+    return F.when(F.contains(clean, F.lit("\ufffd")) | (T.stripped(clean) == ""), F.lit(None)).otherwise(clean)
+
+
+over_blocks("control_gate", lambda: {"clean": gated()}, {"clean": "CASE ord % 4 WHEN 2 THEN NULL WHEN 3 THEN text || chr(9) ELSE text END"})
+over_blocks("translatable_filter", lambda: {"type": F.col("type"), "translatable": F.col("type").isin(*P.TRANSLATABLE)}, {"type": "type", "translatable": "type IN ('title', 'abstract', 'section', 'paragraph', 'caption', 'table_text', 'footnote')"})

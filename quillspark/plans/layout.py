@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from quillspark.functions import layout as L
 from quillspark.functions import patterns as P
@@ -27,8 +28,8 @@ def query(name: str, oracle: str | None = None, *more: str):
     return register
 
 
-def simple(name: str, columns: dict, oracle: dict | None) -> None:
-    query(name, oracle and "SELECT doc_id, ord, " + ", ".join(f"{v} AS {k}" for k, v in oracle.items()) + " FROM b")(lambda spark, d: block_table(spark, d).select("doc_id", "ord", *[c.alias(k) for k, c in columns.items()]))
+def simple(name: str, columns: Callable[[], dict], oracle: dict | None) -> None:
+    query(name, oracle and "SELECT doc_id, ord, " + ", ".join(f"{v} AS {k}" for k, v in oracle.items()) + " FROM b")(lambda spark, d: block_table(spark, d).select("doc_id", "ord", *[c.alias(k) for k, c in columns().items()]))
 
 
 def page_key(df: DataFrame, left: str, right: str):
@@ -37,8 +38,31 @@ def page_key(df: DataFrame, left: str, right: str):
 
 
 SAME = "a.doc_id IS NOT DISTINCT FROM o.doc_id AND a.page = o.page"
-text = F.col("text")
-R = L.rect()
+
+
+def text():
+    return F.col("text")
+
+
+def own() -> dict:
+    return L.rect()
+
+
+def first() -> dict:
+    return L.rect("a.")
+
+
+def other() -> dict:
+    return L.rect("o.")
+
+
+def width():
+    return F.col("x1") - F.col("x0")
+
+
+def height():
+    return F.col("y1") - F.col("y0")
+
 
 
 def m(t: str, pattern: str) -> str:
@@ -54,12 +78,12 @@ def classify_sql(t: str = "text") -> str:
     )
 
 
-simple("classify_blocks", {"class": L.classify(text, F.col("y0"), F.col("y1"))}, {"class": classify_sql()})
+simple("classify_blocks", lambda: {"class": L.classify(text(), F.col("y0"), F.col("y1"))}, {"class": classify_sql()})
 
 
 @query("translate_flags", f"SELECT doc_id, ord, CASE WHEN c <> 'caption' AND f THEN 'formula' ELSE c END AS type, c IN ('title', 'abstract', 'section', 'paragraph', 'caption', 'table_text', 'footnote') AND NOT f AS translate FROM (SELECT *, {classify_sql()} AS c, {S.formula('text')} AS f FROM b) z")
 def translate_flags(spark: SparkSession, d: str) -> DataFrame:
-    rows = block_table(spark, d).select("doc_id", "ord", L.classify(text, F.col("y0"), F.col("y1")).alias("c"), T.looks_like_formula(text).alias("f"))
+    rows = block_table(spark, d).select("doc_id", "ord", L.classify(text(), F.col("y0"), F.col("y1")).alias("c"), T.looks_like_formula(text()).alias("f"))
     return rows.select("doc_id", "ord", F.when((F.col("c") != "caption") & F.col("f"), "formula").otherwise(F.col("c")).alias("type"), (F.col("c").isin(*P.TRANSLATABLE) & ~F.col("f")).alias("translate"))
 
 
@@ -86,7 +110,7 @@ def avg_font_size(spark, d):
 def style_flags(spark, d):
     spans = span_table(spark, d).groupBy("doc_id", "ord").agg(F.sum(F.when(F.contains(F.lower("font"), F.lit("bold")), F.length("words")).otherwise(0)).alias("bold"))
     rows = block_table(spark, d).join(spans, ["doc_id", "ord"])
-    return rows.select("doc_id", "ord", (F.col("bold") > F.length(text) * 0.5).alias("bold"), (F.col("type").isin("title", "section") | (R["x1"] - R["x0"] > L.PAGE_WIDTH * 0.7)).alias("centered"))
+    return rows.select("doc_id", "ord", (F.col("bold") > F.length(text()) * 0.5).alias("bold"), (F.col("type").isin("title", "section") | (own()["x1"] - own()["x0"] > L.PAGE_WIDTH * 0.7)).alias("centered"))
 
 
 @query("dominant_font", "SELECT doc_id, ord, least(28.0, greatest(7.0, size)) AS size FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, ord ORDER BY w DESC, first_i) AS r FROM (SELECT doc_id, ord, round(size, 1) AS size, sum(length(words)) AS w, min(i) AS first_i FROM sp GROUP BY doc_id, ord, round(size, 1)) z) y WHERE r = 1", SPANS_SQL)
@@ -133,28 +157,31 @@ def line_text(spark, d):
 def art_override(spark, d):
     """Artwork at (40, 55, 310, 140) of every third page; the text's one-digit span is in a mathematical font."""
     art = {"x0": F.lit(40.0), "y0": F.lit(55.0), "x1": F.lit(310.0), "y1": F.lit(140.0)}
-    inside = (F.col("page") % 3 == 0) & L.contains(art, R) & (L.area(art) < L.area(R) * 8)
+    inside = (F.col("page") % 3 == 0) & L.contains(art, own()) & (L.area(art) < L.area(own()) * 8)
     math = F.length(F.col("m").cast("string"))
-    other = F.col("type") != "caption"
-    over = (inside & other) | ~text.rlike(r"\p{L}") | (other & (math > 0) & (F.length(text) < 80) & (math / F.greatest(F.length(text), F.lit(1)) > 0.30))
+    prose = F.col("type") != "caption"
+    over = (inside & prose) | ~text().rlike(r"\p{L}") | (prose & (math > 0) & (F.length(text()) < 80) & (math / F.greatest(F.length(text()), F.lit(1)) > 0.30))
     rows = block_table(spark, d)
     return rows.select("doc_id", "ord", F.when(over & inside, "figure").when(over, "formula").otherwise(F.col("type")).alias("type"), (F.col("translate") & ~over).alias("translate"))
 
 
-simple("title_override", {"type": F.when((F.col("page") == 1) & (R["y0"] < L.PAGE_HEIGHT * 0.25) & (F.col("font_size") > 17), "title").otherwise(F.col("type")), "translate": F.col("translate")}, {"type": "CASE WHEN page = 1 AND y0 < 198.0 AND font_size > 17 THEN 'title' ELSE type END", "translate": "translate"})
+simple("title_override", lambda: {"type": F.when((F.col("page") == 1) & (own()["y0"] < L.PAGE_HEIGHT * 0.25) & (F.col("font_size") > 17), "title").otherwise(F.col("type")), "translate": F.col("translate")}, {"type": "CASE WHEN page = 1 AND y0 < 198.0 AND font_size > 17 THEN 'title' ELSE type END", "translate": "translate"})
 
-W, H = R["x1"] - R["x0"], R["y1"] - R["y0"]
 _NUM = m(f"trim(regexp_replace({S.prose('text')}, '\\s+', ' ', 'g'))", P.EQUATION_NUMBER)
 _LEN = f"length({S.prose('text')})"
 _DISPLAY = f"({_NUM} OR (y1 - y0 > 28 AND {_LEN} > 16) OR (x1 - x0 > 612.0 * 0.28 AND {_LEN} > 24 AND {S.formula('text')}))"
 _SCRAP = f"(y1 - y0 < 36 AND {_LEN} < 96 AND NOT {_NUM} AND ({m(S.prose('text'), P.SYMBOL)} OR {m(S.prose('text'), '[=+−×÷/√∝≈∑∫≤≥±]')} OR ({S.formula('text')} AND {_LEN} < 64 AND y1 - y0 < 28)))"
-simple("math_role", {"display": L.is_display(text, W, H), "scrap": L.is_scrap(text, H)}, {"display": _DISPLAY, "scrap": _SCRAP})
-_formula = F.col("type") == "formula"
-_plain = F.length(T.visible_prose(text))
-_sem = _formula & (L.numbered(text) | ((W > 140) & (_plain > 24)) | ((H > 28) & (_plain > 16)))
-simple("math_role_sem", {"display": _sem, "scrap": _formula & ~F.col("translate") & ~_sem & (_plain < 64) & (H < 28)}, {"display": f"type = 'formula' AND ({_NUM} OR (x1 - x0 > 140 AND {_LEN} > 24) OR (y1 - y0 > 28 AND {_LEN} > 16))", "scrap": f"type = 'formula' AND NOT translate AND NOT ({_NUM} OR (x1 - x0 > 140 AND {_LEN} > 24) OR (y1 - y0 > 28 AND {_LEN} > 16)) AND {_LEN} < 64 AND y1 - y0 < 28"})
-_b = L.budget(W, H, F.col("font_size"))
-simple("layout_budget", _b, {"lines": "greatest(1, round_even((y1 - y0) / (font_size * 1.15), 0)::BIGINT)", "per_line": "floor((x1 - x0) / (font_size * 0.7))::BIGINT", "budget": "floor(greatest(1, round_even((y1 - y0) / (font_size * 1.15), 0)::BIGINT) * floor((x1 - x0) / (font_size * 0.7))::BIGINT * 0.85::DOUBLE)::BIGINT"})
+simple("math_role", lambda: {"display": L.is_display(text(), width(), height()), "scrap": L.is_scrap(text(), height())}, {"display": _DISPLAY, "scrap": _SCRAP})
+
+
+def later_roles() -> dict:
+    formula, plain = F.col("type") == "formula", F.length(T.visible_prose(text()))
+    display = formula & (L.numbered(text()) | ((width() > 140) & (plain > 24)) | ((height() > 28) & (plain > 16)))
+    return {"display": display, "scrap": formula & ~F.col("translate") & ~display & (plain < 64) & (height() < 28)}
+
+
+simple("math_role_sem", later_roles, {"display": f"type = 'formula' AND ({_NUM} OR (x1 - x0 > 140 AND {_LEN} > 24) OR (y1 - y0 > 28 AND {_LEN} > 16))", "scrap": f"type = 'formula' AND NOT translate AND NOT ({_NUM} OR (x1 - x0 > 140 AND {_LEN} > 24) OR (y1 - y0 > 28 AND {_LEN} > 16)) AND {_LEN} < 64 AND y1 - y0 < 28"})
+simple("layout_budget", lambda: L.budget(width(), height(), F.col("font_size")), {"lines": "greatest(1, round_even((y1 - y0) / (font_size * 1.15), 0)::BIGINT)", "per_line": "floor((x1 - x0) / (font_size * 0.7))::BIGINT", "budget": "floor(greatest(1, round_even((y1 - y0) / (font_size * 1.15), 0)::BIGINT) * floor((x1 - x0) / (font_size * 0.7))::BIGINT * 0.85::DOUBLE)::BIGINT"})
 
 
 # ---- joins within a page
@@ -165,13 +192,16 @@ def paired(spark, d, how: str, on, **sides) -> DataFrame:
     return rows.alias("a").join(rows.alias("o"), page_key(rows, "a", "o") & on, how)
 
 
-A, O = L.rect("a."), L.rect("o.")
-_LOWER = F.col("a.ord") < F.col("o.ord")
+
+
+def earlier():
+    return F.col("a.ord") < F.col("o.ord")
+
 
 
 @query("column_band", f"SELECT a.doc_id, a.ord, o.ord AS other, abs(a.x0 - o.x0) < 36 AND abs(a.x1 - o.x1) < 54 AS same, (abs(a.x0 - o.x0) < 36 AND abs(a.x1 - o.x1) < 54) OR (o.x0 >= a.x0 - 36 AND o.x1 <= a.x1 + 36) AS band FROM b a JOIN b o ON {SAME} AND a.ord < o.ord")
 def column_band(spark, d):
-    return paired(spark, d, "inner", _LOWER).select("a.doc_id", "a.ord", F.col("o.ord").alias("other"), L.same_column(A, O).alias("same"), L.in_band(A, O).alias("band"))
+    return paired(spark, d, "inner", earlier()).select("a.doc_id", "a.ord", F.col("o.ord").alias("other"), L.same_column(first(), other()).alias("same"), L.in_band(first(), other()).alias("band"))
 
 
 def _area(a: str) -> str:
@@ -184,13 +214,13 @@ _SIG = f"({_OVER} >= 5 AND least({_area('a')}, {_area('o')}) >= 1 AND {_OVER} >
 
 @query("rect_overlap", f"SELECT a.doc_id, a.ord, o.ord AS other, round({_OVER}, 3) AS area, {_SIG} AS significant FROM b a JOIN b o ON {SAME} AND a.ord < o.ord")
 def rect_overlap(spark, d):
-    return paired(spark, d, "inner", _LOWER).select("a.doc_id", "a.ord", F.col("o.ord").alias("other"), F.round(L.overlap(A, O), 3).alias("area"), L.significant(A, O, L.PREPARED).alias("significant"))
+    return paired(spark, d, "inner", earlier()).select("a.doc_id", "a.ord", F.col("o.ord").alias("other"), F.round(L.overlap(first(), other()), 3).alias("area"), L.significant(first(), other(), L.PREPARED).alias("significant"))
 
 
 @query("overlap_drop", f"SELECT doc_id, ord FROM b EXCEPT SELECT a.doc_id, CASE WHEN {_area('a')} <= {_area('o')} THEN a.ord ELSE o.ord END FROM b a JOIN b o ON {SAME} AND a.ord < o.ord AND {_SIG}")
 def overlap_drop(spark, d):
     """Blocks that stay when of two that overlap the smaller goes, the earlier one of two alike."""
-    lost = paired(spark, d, "inner", _LOWER & L.significant(A, O, L.PREPARED)).select(F.col("a.doc_id").alias("of"), F.when(L.area(A) <= L.area(O), F.col("a.ord")).otherwise(F.col("o.ord")).alias("at")).distinct()
+    lost = paired(spark, d, "inner", earlier() & L.significant(first(), other(), L.PREPARED)).select(F.col("a.doc_id").alias("of"), F.when(L.area(first()) <= L.area(other()), F.col("a.ord")).otherwise(F.col("o.ord")).alias("at")).distinct()
     rows = block_table(spark, d)
     return rows.join(lost, rows.doc_id.eqNullSafe(lost["of"]) & (rows.ord == lost["at"]), "left_anti").select("doc_id", "ord")
 
@@ -202,15 +232,15 @@ _NEAR = "least(a.y1, o.y1) - greatest(a.y0, o.y0) > {above} AND greatest(a.x0, o
 def near_formula(spark, d):
     rows = block_table(spark, d)
     formulas = rows.where("type = 'formula' AND NOT translate")
-    return rows.alias("a").join(formulas.alias("o"), page_key(rows, "a", "o") & (F.col("a.ord") != F.col("o.ord")) & L.near(A, O, -4, 48), "left_semi").select("doc_id", "ord")
+    return rows.alias("a").join(formulas.alias("o"), page_key(rows, "a", "o") & (F.col("a.ord") != F.col("o.ord")) & L.near(first(), other(), -4, 48), "left_semi").select("doc_id", "ord")
 
 
 @query("inside_art", f"SELECT doc_id, ord FROM b a WHERE EXISTS (SELECT 1 FROM b o WHERE {SAME} AND o.ord <> a.ord AND a.x0 >= 40 AND a.x1 <= 580 AND o.y0 - 40 <= a.y0 AND o.y1 + 40 >= a.y1 AND o.type = 'caption' AND 540.0 * (o.y1 - o.y0 + 80) < {_area('a')} * 8)")
 def inside_art(spark, d):
     """Artwork: what stands beside a caption across the page, with 40 points above and below it."""
     rows = block_table(spark, d)
-    art = {"x0": F.lit(40.0), "y0": O["y0"] - 40, "x1": F.lit(580.0), "y1": O["y1"] + 40}
-    return rows.alias("a").join(rows.where("type = 'caption'").alias("o"), page_key(rows, "a", "o") & (F.col("a.ord") != F.col("o.ord")) & L.contains(art, A) & (L.area(art) < L.area(A) * 8), "left_semi").select("doc_id", "ord")
+    art = {"x0": F.lit(40.0), "y0": other()["y0"] - 40, "x1": F.lit(580.0), "y1": other()["y1"] + 40}
+    return rows.alias("a").join(rows.where("type = 'caption'").alias("o"), page_key(rows, "a", "o") & (F.col("a.ord") != F.col("o.ord")) & L.contains(art, first()) & (L.area(art) < L.area(first()) * 8), "left_semi").select("doc_id", "ord")
 
 
 #: What a second parse of the pages gives: the same blocks, a little moved and numbered anew, without each ninth.
@@ -229,14 +259,14 @@ _DIST = "(abs(a.x0 - o.x0) + abs(a.y0 - o.y0) + abs(a.x1 - o.x1) + abs(a.y1 - o.
 def nearest_block(spark, d):
     rows, raw = block_table(spark, d), raw_table(spark, d)
     met = rows.alias("a").join(raw.alias("o"), page_key(rows, "a", "o"), "left")
-    return met.groupBy("a.doc_id", "a.ord").agg(F.min_by("o.raw_ord", F.struct(L.distance(A, O), F.col("o.raw_ord"))).alias("raw_ord"))
+    return met.groupBy("a.doc_id", "a.ord").agg(F.min_by("o.raw_ord", F.struct(L.distance(first(), other()), F.col("o.raw_ord"))).alias("raw_ord"))
 
 
 @query("geometry_rematch", f"SELECT a.doc_id, a.ord, arg_min(o.raw_ord, struct_pack(d := abs(a.x0 - o.x0) + abs(a.y0 - o.y0), r := o.raw_ord)) AS raw_ord, coalesce(arg_min(o.y0, struct_pack(d := abs(a.x0 - o.x0) + abs(a.y0 - o.y0), r := o.raw_ord)), any_value(a.y0)) AS y0 FROM b a LEFT JOIN raw o ON {SAME} AND greatest(abs(a.x0 - o.x0), abs(a.y0 - o.y0), abs(a.x1 - o.x1), abs(a.y1 - o.y1)) < 1 GROUP BY a.doc_id, a.ord", RAW_SQL)
 def geometry_rematch(spark, d):
     rows, raw = block_table(spark, d), raw_table(spark, d)
-    close = F.greatest(*[F.abs(A[k] - O[k]) for k in A]) < 1
-    order = F.struct(F.abs(A["x0"] - O["x0"]) + F.abs(A["y0"] - O["y0"]), F.col("o.raw_ord"))
+    close = F.greatest(*[F.abs(first()[k] - other()[k]) for k in first()]) < 1
+    order = F.struct(F.abs(first()["x0"] - other()["x0"]) + F.abs(first()["y0"] - other()["y0"]), F.col("o.raw_ord"))
     met = rows.alias("a").join(raw.alias("o"), page_key(rows, "a", "o") & close, "left")
     return met.groupBy("a.doc_id", "a.ord").agg(F.min_by("o.raw_ord", order).alias("raw_ord"), F.coalesce(F.min_by("o.y0", order), F.first("a.y0")).alias("y0"))
 
@@ -245,7 +275,7 @@ def geometry_rematch(spark, d):
 def text_rematch(spark, d):
     rows, raw = block_table(spark, d), raw_table(spark, d)
     met = rows.alias("a").join(raw.alias("o"), page_key(rows, "a", "o") & (F.col("a.text") == F.col("o.text")))
-    return met.groupBy("a.doc_id", "a.ord").agg(F.min_by("o.raw_ord", F.struct(F.abs(A["x0"] - O["x0"]) + F.abs(A["y0"] - O["y0"]), F.col("o.raw_ord"))).alias("raw_ord"))
+    return met.groupBy("a.doc_id", "a.ord").agg(F.min_by("o.raw_ord", F.struct(F.abs(first()["x0"] - other()["x0"]) + F.abs(first()["y0"] - other()["y0"]), F.col("o.raw_ord"))).alias("raw_ord"))
 
 
 _TARGET = "regexp_extract(translated, '^\\[MERGED_INTO:(.+?)\\]$', 1)"
@@ -255,18 +285,18 @@ _TARGET = "regexp_extract(translated, '^\\[MERGED_INTO:(.+?)\\]$', 1)"
 def absorb_union(spark, d):
     rows = block_table(spark, d).withColumn("target", F.regexp_extract("translated", r"^\[MERGED_INTO:(.+?)\]$", 1))
     members = rows.where("target <> ''").groupBy("doc_id", "target").agg(F.min("x0").alias("mx0"), F.max("x1").alias("mx1"), F.max("y1").alias("my1"), F.count("*").alias("n"))
-    own = rows.where("target = ''").drop("target")
-    met = own.alias("a").join(members.alias("g"), F.col("a.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("source_id") == F.col("target")), "left")
+    left = rows.where("target = ''").drop("target")
+    met = left.alias("a").join(members.alias("g"), F.col("a.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("source_id") == F.col("target")), "left")
     return met.select("a.doc_id", "ord", F.least("x0", "mx0").alias("x0"), F.greatest("x1", "mx1").alias("x1"), F.greatest("y1", "my1").alias("y1"), F.coalesce("n", F.lit(0)).alias("members"))
 
 
 @query("flow_limit", f"SELECT a.doc_id, a.ord, greatest(any_value(a.y1), least(780.0, any_value(a.y1) + 20, coalesce(min(o.y0 - 1), 1e9))) AS y1 FROM b a LEFT JOIN b o ON {SAME} AND o.ord <> a.ord AND least(a.x1, o.x1) > greatest(a.x0, o.x0) AND o.y0 >= a.y1 - 0.1 WHERE a.translate GROUP BY a.doc_id, a.ord")
 def flow_limit(spark, d):
     rows = block_table(spark, d)
-    below = (F.col("a.ord") != F.col("o.ord")) & (F.least(A["x1"], O["x1"]) > F.greatest(A["x0"], O["x0"])) & (O["y0"] >= A["y1"] - 0.1)
+    below = (F.col("a.ord") != F.col("o.ord")) & (F.least(first()["x1"], other()["x1"]) > F.greatest(first()["x0"], other()["x0"])) & (other()["y0"] >= first()["y1"] - 0.1)
     met = rows.where("translate").alias("a").join(rows.alias("o"), page_key(rows, "a", "o") & below, "left")
-    own = F.first("a.y1")
-    return met.groupBy("a.doc_id", "a.ord").agg(F.greatest(own, F.least(F.lit(L.PAGE_HEIGHT - 12), own + 20, F.min(O["y0"] - 1))).alias("y1"))
+    end = F.first("a.y1")
+    return met.groupBy("a.doc_id", "a.ord").agg(F.greatest(end, F.least(F.lit(L.PAGE_HEIGHT - 12), end + 20, F.min(other()["y0"] - 1))).alias("y1"))
 
 
 @query("reading_order", "SELECT doc_id, ord, row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, x0, ord) AS place FROM b")
@@ -279,7 +309,7 @@ def page_count(spark, d):
     return block_table(spark, d).groupBy("doc_id").agg(F.max("page").alias("pages"), F.count("*").alias("blocks"))
 
 
-simple("blocks_scan", {k: F.col(k) for k in ("page", "source_id", "type", "translate", "x0", "y0", "x1", "y1", "text")}, {k: k for k in ("page", "source_id", "type", "translate", "x0", "y0", "x1", "y1", "text")})
+simple("blocks_scan", lambda: {k: F.col(k) for k in ("page", "source_id", "type", "translate", "x0", "y0", "x1", "y1", "text")}, {k: k for k in ("page", "source_id", "type", "translate", "x0", "y0", "x1", "y1", "text")})
 
 
 @query("protected_rects", "SELECT doc_id, page, 'block' AS kind, x0, y0, x1, y1 FROM b WHERE NOT translate UNION ALL SELECT doc_id, page, 'image', x0, y0 - 60, x1, y0 FROM b WHERE type = 'caption' UNION ALL SELECT doc_id, page, 'vector', x0 - 1, y1, x1 + 1, y1 + 1 FROM b WHERE type = 'section'")
@@ -287,7 +317,7 @@ def protected_rects(spark, d):
     """Blocks that aren't translated, images (above captions) and vector art (a rule below a section's heading)."""
     rows = block_table(spark, d)
     part = lambda where, kind, x0, y0, x1, y1: rows.where(where).select("doc_id", "page", F.lit(kind).alias("kind"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
-    return part("NOT translate", "block", *R.values()).unionByName(part("type = 'caption'", "image", R["x0"], R["y0"] - 60, R["x1"], R["y0"])).unionByName(part("type = 'section'", "vector", R["x0"] - 1, R["y1"], R["x1"] + 1, R["y1"] + 1))
+    return part("NOT translate", "block", *own().values()).unionByName(part("type = 'caption'", "image", own()["x0"], own()["y0"] - 60, own()["x1"], own()["y0"])).unionByName(part("type = 'section'", "vector", own()["x0"] - 1, own()["y1"], own()["x1"] + 1, own()["y1"] + 1))
 
 
 # ---- fitting
@@ -303,15 +333,15 @@ def fit_ladder(spark, d):
     """The first level at which a translation fits by a budget of characters (an approximation: nothing is typeset), or -1."""
     size = F.col("font_size")
 
-    def fits(scale, height):
+    def fits(scale, spread):
         adjusted = F.greatest(F.lit(7.0), size * scale)
         floor = F.greatest(F.lit(0.6), F.least(F.lit(1.0), 5.5 / adjusted))
-        per_line = F.greatest(F.lit(1), F.floor(W / (adjusted * 0.7 * floor)))
-        return F.ceil(F.length("translated") / per_line) * adjusted * height * floor <= H
+        per_line = F.greatest(F.lit(1), F.floor(width() / (adjusted * 0.7 * floor)))
+        return F.ceil(F.length("translated") / per_line) * adjusted * spread * floor <= height()
 
     level = F.lit(-1)
-    for i, (scale, height) in reversed(list(enumerate(L.LEVELS))):
-        level = F.when(fits(scale, height), i).otherwise(level)
+    for i, (scale, spread) in reversed(list(enumerate(L.LEVELS))):
+        level = F.when(fits(scale, spread), i).otherwise(level)
     return block_table(spark, d).where("translate").select("doc_id", "ord", level.cast("int").alias("level"))
 
 
@@ -322,11 +352,11 @@ def fit_ladder(spark, d):
 def retention_reason(spark, d):
     rows = block_table(spark, d)
     locks = rows.where("NOT translate")
-    own = rows.where(F.col("translate") & ~F.startswith("translated", F.lit(P.ABSORBED)))
-    hit = own.alias("a").join(locks.alias("o"), page_key(rows, "a", "o") & L.significant(A, O, L.INITIAL)).select(F.col("a.doc_id").alias("of"), F.col("a.ord").alias("at")).distinct()
-    met = own.join(hit, own.doc_id.eqNullSafe(hit["of"]) & (own.ord == hit["at"]), "left")
+    mine = rows.where(F.col("translate") & ~F.startswith("translated", F.lit(P.ABSORBED)))
+    hit = mine.alias("a").join(locks.alias("o"), page_key(rows, "a", "o") & L.significant(first(), other(), L.INITIAL)).select(F.col("a.doc_id").alias("of"), F.col("a.ord").alias("at")).distinct()
+    met = mine.join(hit, mine.doc_id.eqNullSafe(hit["of"]) & (mine.ord == hit["at"]), "left")
     page = {"x0": F.lit(0.0), "y0": F.lit(0.0), "x1": F.lit(L.PAGE_WIDTH), "y1": F.lit(L.PAGE_HEIGHT)}
-    reason = F.when((T.stripped(F.col("translated")) == "") | F.startswith("translated", F.lit(P.FAILED)), "没有有效译文，已保留原文").when((L.area(R) <= 0) | ~L.contains(page, R), "文字区域越界，已保留原文").when(F.col("at").isNotNull(), "与公式或图形保护区相交，已保留原文")
+    reason = F.when((T.stripped(F.col("translated")) == "") | F.startswith("translated", F.lit(P.FAILED)), "没有有效译文，已保留原文").when((L.area(own()) <= 0) | ~L.contains(page, own()), "文字区域越界，已保留原文").when(F.col("at").isNotNull(), "与公式或图形保护区相交，已保留原文")
     return met.select("doc_id", "ord", reason.alias("reason"))
 
 
@@ -336,15 +366,15 @@ _COLUMNS = ["source_id", "type", "translate", "x0", "y0", "x1", "y1", "text"]
 
 
 def _candidate():
-    plain = T.visible_prose(text)
+    plain = T.visible_prose(text())
     words = T.extract(plain, "[A-Za-z]+")
     unit = T.stripped(plain).rlike(r"^[A-Za-z ]{1,32}\((?:dBm|dB|W|V|A|Hz)\)[ .]*$")
     tail = plain.rlike(r"^[\d(\[+−-]") & plain.rlike(r"\(\d+[a-z]?\)\s*$")
     scrap = (F.length(plain) < 24) & ~plain.rlike("[A-Za-z]{4,}") & (plain.rlike(P.SYMBOL) | plain.rlike("[=+−×÷/√∝]"))
     short = F.forall(words, lambda w: (F.length(w) <= 2) | w.rlike("^[A-Z]{1,5}$") | w.rlike("^[a-z][A-Z]{1,5}$") | w.rlike("^[A-Za-z]{0,3}(?:pd|total|max|min|sin|cos|log|exp)$"))
     wordy = (F.size(words) > 0) & (unit | tail | short)
-    alone = (plain.rlike("[=+−∝]") & ~plain.rlike("[A-Za-z]{5,}")) | ((F.length(plain) < 8) & text.rlike(P.SYMBOL))
-    eligible = F.col("translate") & (F.col("type") != "caption") & (H < 40) & (F.length(plain) < 100) & (scrap | wordy | T.looks_like_formula(plain))
+    alone = (plain.rlike("[=+−∝]") & ~plain.rlike("[A-Za-z]{5,}")) | ((F.length(plain) < 8) & text().rlike(P.SYMBOL))
+    eligible = F.col("translate") & (F.col("type") != "caption") & (height() < 40) & (F.length(plain) < 100) & (scrap | wordy | T.looks_like_formula(plain))
     return eligible, alone
 
 
@@ -385,10 +415,10 @@ ORACLES["formula_fixpoint"] = _recursive(*_fixpoint_sql(f"type = 'formula' OR ({
 
 @query("equation_lock")
 def equation_lock(spark, d):
-    plain = T.visible_prose(text)
+    plain = T.visible_prose(text())
     compact = F.trim(F.regexp_replace(plain, r"\s+", " "))
     lone = compact.rlike(r"^\(\d+[a-z]?\)$")
-    sure = (F.col("type") != "caption") & (T.looks_like_formula(plain) | lone | (compact.rlike(P.EQUATION_NUMBER) & (plain.rlike("[=+−×/]") | text.rlike("<su[bp]>") | plain.rlike(P.SYMBOL))))
+    sure = (F.col("type") != "caption") & (T.looks_like_formula(plain) | lone | (compact.rlike(P.EQUATION_NUMBER) & (plain.rlike("[=+−×/]") | text().rlike("<su[bp]>") | plain.rlike(P.SYMBOL))))
     joins = (F.col("type") != "caption") & F.col("translate") & (lone | T.looks_like_formula(plain) | ((F.length(plain) < 48) & plain.rlike(P.SYMBOL) & ~plain.rlike("[A-Za-z]{5,}")))
     return _fixpoint(block_table(spark, d).withColumn("seed", (F.col("type") == "formula") | sure).withColumn("eligible", joins), -4, 48)
 
@@ -401,7 +431,7 @@ ORACLES["equation_lock"] = _recursive(*_fixpoint_sql(f"type = 'formula' OR {_SUR
 
 @query("inline_tagging")
 def inline_tagging(spark, d):
-    rows = block_table(spark, d).withColumn("is_display", L.is_display(text, W, H)).withColumn("is_scrap", L.is_scrap(text, H)).withColumn("type", F.when(T.looks_like_formula(text), "formula").otherwise(F.col("type")))
+    rows = block_table(spark, d).withColumn("is_display", L.is_display(text(), width(), height())).withColumn("is_scrap", L.is_scrap(text(), height())).withColumn("type", F.when(T.looks_like_formula(text()), "formula").otherwise(F.col("type")))
     return pages.per_page(rows, ["type", "is_display", "is_scrap", "x0", "y0", "x1", "y1"], pages.tag_inline, "ord long, display boolean").select("doc_id", "ord", "display")
 
 
@@ -478,7 +508,7 @@ def control_repair(spark, d):
 def text_containment(spark, d):
     rows = block_table(spark, d)
     letters = lambda c: F.filter(F.split(F.regexp_replace(c, "[\\s­]+", ""), ""), lambda x: x != "")
-    each = rows.select("doc_id", "ord", F.explode(F.concat(F.transform(letters(text), lambda c: F.struct(c.alias("c"), F.lit(1).alias("n"))), F.transform(letters(F.col("translated")), lambda c: F.struct(c.alias("c"), F.lit(-1).alias("n"))))).alias("x"))
+    each = rows.select("doc_id", "ord", F.explode(F.concat(F.transform(letters(text()), lambda c: F.struct(c.alias("c"), F.lit(1).alias("n"))), F.transform(letters(F.col("translated")), lambda c: F.struct(c.alias("c"), F.lit(-1).alias("n"))))).alias("x"))
     counts = each.groupBy("doc_id", "ord", "x.c").agg(F.sum("x.n").alias("n"))
     return counts.groupBy("doc_id", "ord").agg((F.max("n") <= 0).alias("contained"))
 
@@ -493,4 +523,4 @@ def pixel_diff(spark, d):
     base = F.col("k") * 37
     differ = lambda x: F.abs((base + x * 11) % 256 - (base + x * 11 + F.when((x + F.col("m")) % 20 == 0, 40).otherwise(3)) % 256) > 12
     ratio = F.size(F.filter(i, differ)) / 100
-    return block_table(spark, d).select("doc_id", "ord", F.round(ratio, 6).alias("ratio"), (ratio > F.when(L.area(R) < 2500, 0.05).otherwise(0.002)).alias("warns"))
+    return block_table(spark, d).select("doc_id", "ord", F.round(ratio, 6).alias("ratio"), (ratio > F.when(L.area(own()) < 2500, 0.05).otherwise(0.002)).alias("warns"))
