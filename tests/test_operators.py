@@ -95,3 +95,71 @@ def test_blocks_of_odd_documents(spark):
     docs = spark.createDataFrame([(None, "a line", "en", "s", 1, "clash"), (1, None, None, None, None, "x"), (2, "", "en", "s", 0, "x"), (3, "\n \n", "en", "s", 0, "x")], "doc_id long, text string, lang string, source string, n_chars long, page string")
     assert {r["doc_id"] for r in blocks(docs).collect()} == {None}
     assert blocks(docs.limit(0)).count() == 0
+
+
+def span(text, size=10.0, y=100.0, font="Serif", flags=0):
+    return {"text": text, "size": size, "font": font, "flags": flags, "y": y}
+
+
+def text_block(spans, box):
+    return {"kind": 0, "bbox": box, "lines": [{"bbox": box, "spans": spans}]}
+
+
+@pytest.fixture(scope="module")
+def dumped(spark):
+    from quillspark.operators.parse import PAGES
+
+    blocks = [
+        text_block([span("A Study Of Noise", 20.0, 60.0)], [50.0, 50.0, 300.0, 70.0]),
+        text_block([span("The gain of the amplifier is 5 dB in [3] and it stays the same.")], [50.0, 300.0, 300.0, 312.0]),
+        text_block([span("V"), span("DD", 6.0, 102.0), span(" = 3 V "), span("(4)")], [50.0, 400.0, 300.0, 412.0]),
+        text_block([span("(5)")], [310.0, 400.0, 330.0, 412.0]),
+        text_block([span("Fig. 1 Spectrum of the noise")], [50.0, 500.0, 300.0, 512.0]),
+        text_block([span("axis label")], [60.0, 620.0, 100.0, 640.0]),
+        {"kind": 1, "bbox": [0.0] * 4, "lines": []},
+        text_block([span("  ")], [0.0, 0.0, 1.0, 1.0]),
+        text_block([span("12")], [300.0, 770.0, 310.0, 780.0]),
+    ]
+    return spark.createDataFrame([(1, 1, 612.0, 792.0, blocks, [[55.0, 610.0, 110.0, 650.0]], [])], PAGES)
+
+
+def test_parse(dumped):
+    from quillspark.operators.parse import parse
+
+    got = {r["source_id"]: r for r in parse(dumped).collect()}
+    assert [(k, got[k]["type"], got[k]["translate"]) for k in sorted(got)] == [
+        ("b_1_1", "title", True), ("b_1_2", "paragraph", True), ("b_1_3", "formula", False), ("b_1_4", "formula", False), ("b_1_5", "caption", True), ("b_1_6", "figure", False), ("b_1_9", "formula", False), ("fig_1_1", "figure", False),
+    ]
+    assert got["b_1_3"]["text"] == "V<sub>DD</sub> = 3 V (4)" and got["b_1_3"]["has_subscript"]
+    assert [k for k, _ in sorted(got.items(), key=lambda x: x[1]["place"])][:2] == ["b_1_1", "b_1_2"]
+
+
+def test_workspace(spark, dumped, tmp_path):
+    from quillspark.workspace import Workspace
+
+    w = Workspace(spark, f"file://{tmp_path}/ws")
+    w.add_pages(dumped, spark.createDataFrame([(1, "paper.PDF", 1000), (2, "notes.txt", 10)], "doc_id long, filename string, bytes long"))
+    assert [(r["doc_id"], r["status"], r["page_count"]) for r in w.list_documents().collect()] == [(1, "uploaded", 1)]
+    w.translate(M.StubTranslator())
+    assert w.get_document(1).first()["status"] == "completed"
+    w.retranslate_block(1, "b_1_2", "by hand")
+    w.rebuild_layout(dumped)
+    text, cited = w.chat_context(1)
+    assert "→ by hand" in text and len(cited) == 5
+    assert w.get_layout(1).count() == w.get_result(1).count() == 8
+    w.delete_documents(spark.createDataFrame([(1,)], "doc_id long"))
+    assert w.list_documents().count() == 0 and w.get_result(1).count() == 0
+
+
+def test_tables_round_trip(spark, dumped, tmp_path):
+    from quillspark.operators.parse import parse
+    from quillspark.sources import tables
+
+    dumped.write.json(f"{tmp_path}/pages")
+    again = tables.read_pages(spark, f"{tmp_path}/pages")
+    tables.write_layout(parse(again), f"{tmp_path}/layout")
+    assert tables.read_layout(spark, f"{tmp_path}/layout", 1).count() == 8 and tables.read_layout(spark, f"{tmp_path}/layout", 2).count() == 0
+    index = spark.createDataFrame([(1, "a.pdf", "completed", None), (2, "b.pdf", "failed", None), (3, "c.pdf", "failed", True)], "doc_id long, filename string, status string, output_ready boolean")
+    tables.write_index(index, f"{tmp_path}/index")
+    got = tables.read_index(spark, f"{tmp_path}/index", spark.createDataFrame([(1,), (2,)], "doc_id long"))
+    assert {(r["doc_id"], r["output_ready"]) for r in got.collect()} == {(1, True), (2, False)}
