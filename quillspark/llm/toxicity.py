@@ -4,8 +4,8 @@ Two bigram models, of toxic and of ordinary documents, are interpolated with abs
 (documents that have the pair) of the class back off to continuation counts of the class (in how many different
 contexts a word was seen), and these to continuation counts of both classes together, so that a rare expression
 weighs alike in both. A document
-is described by its length-normalised log-likelihood difference, of the whole text and of its most toxic window
-of WINDOW words; a logistic curve over these, fitted on documents the counts haven't seen, gives the score.
+is described by its length-normalised log-likelihood difference, of the whole text and of its most toxic windows
+of WINDOWS words; a logistic curve over these, fitted on documents that the counts haven't seen, gives the score.
 
 The models are fitted on a bounded sample of labelled rows: MAX_DOCS documents of each class at most, of
 MAX_WORDS words at most, chosen by a hash of their ids. Every document is scored over its whole text.
@@ -17,6 +17,7 @@ every score is 0. Repeated rows are scored each; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import re
 from dataclasses import dataclass
 
@@ -27,13 +28,15 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import common
 
-MAX_DOCS, MAX_WORDS, WINDOW = 4096, 6000, 24
+MAX_DOCS, MAX_WORDS, FOLDS = 4096, 6000, 4
+#: Windows, in words, over which the difference of likelihoods is normalised, beside the whole text.
+WINDOWS = (24, 96, 384)
 #: Least counts of a word of the vocabulary to choose from, by the curve's loss; rarer words are one unknown word.
-MIN_COUNTS = (3, 6, 12, 24, 48)
+MIN_COUNTS = (6, 12, 18, 24, 36, 48)
 #: Least number of documents, of both classes, of a pair of words; rarer pairs back off (a passage and its few copies are no habit).
-MIN_PAIR = 6
+MIN_PAIR = 12
 _WORD = re.compile(r"\w+")
-_FEATURES = 5
+_FEATURES = 3 + len(WINDOWS)
 
 
 def tokens(text: str) -> list[str]:
@@ -66,19 +69,21 @@ class Model:
         return out[1] - out[0]
 
     def describe(self, text: str | None) -> np.ndarray:
-        """1, then the normalised difference of the whole text, of the most toxic window, and both by length."""
+        """1, then the difference of the whole text by its length and its length's root, then of the most toxic window of each size.
+
+        A word counts where it is seen first, as in training, where a pair counts once for a document."""
         get = self.vocabulary.get
         ids = np.fromiter((get(w, 0) for w in tokens(text or "")), np.int64)
         if not len(ids):
             return np.eye(1, _FEATURES)[0]
         d = self.difference(ids)
-        known = ids > 0
-        d = np.where(known, d, 0.0)  # the unknown word says nothing
+        first = np.zeros(len(ids), bool)
+        first[np.unique(ids, return_index=True)[1]] = True
+        d = np.where(first & (ids > 0), d, 0.0)  # the unknown word says nothing
         total = np.concatenate([[0.0], np.cumsum(d)])
-        k = min(WINDOW, len(d))
-        top = (total[k:] - total[:-k]).max()
         n = len(d)
-        return np.array([1.0, total[-1] / n, total[-1] / np.sqrt(n), top / k, top])
+        top = [(total[min(k, n) :] - total[: n + 1 - min(k, n)]).max() / k for k in WINDOWS]
+        return np.array([1.0, total[-1] / n, total[-1] / np.sqrt(n), *top])
 
     def score(self, described: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(described @ self.weights, -30, 30)))
@@ -89,32 +94,44 @@ def _discount(counts: np.ndarray) -> float:
     return min(0.9, max(0.1, one / (one + 2 * two))) if one else 0.5
 
 
-def fit_counts(texts: list[list[str]], toxic: list[int], min_count: int) -> Model:
-    """The counts of both classes; the curve's weights are still to be fitted."""
+def pairs_of(texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
+    """The words, and of each text its pairs (context << 32) + word, each once: a repeated line is one piece of evidence."""
     number: dict[str, int] = {"": 0}  # the text's start
-    raw: list[list[np.ndarray]] = [[], []]
-    for t, c in zip(texts, toxic, strict=True):
-        ids = np.fromiter((number.setdefault(w, len(number)) for w in t), np.int64, len(t))
-        # a pair counts once for each document: a repeated line is one piece of evidence
-        raw[c].append(np.unique((np.concatenate([[0], ids[:-1]]) << 32) + ids) if len(ids) else ids)
-    raw_keys = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in raw]
-    contexts = np.bincount(np.unique(np.concatenate(raw_keys)) & 0xFFFFFFFF, minlength=len(number))
+    out = []
+    for t in texts:
+        ids = np.fromiter((number.setdefault(w, len(number)) for w in tokens(t)), np.int64)
+        out.append(np.unique((np.concatenate([[0], ids[:-1]]) << 32) + ids) if len(ids) else ids)
+    return list(number), out
+
+
+def counted(pairs: list[np.ndarray], y: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """The pairs of each class and in how many documents they are; the words of the pairs of either class, each pair once."""
+    classes = [np.unique(np.concatenate([np.zeros(0, np.int64), *(p for p, c in zip(pairs, y, strict=True) if c == k)]), return_counts=True) for k in (0, 1)]
+    only = np.isin(classes[1][0], classes[0][0], assume_unique=True, invert=True)
+    return classes, np.concatenate([classes[0][0], classes[1][0][only]]) & 0xFFFFFFFF
+
+
+def fit_counts(words: list[str], counts, min_count: int) -> Model:
+    """The counts of both classes; the curve's weights are still to be fitted."""
+    classes, either = counts
+    contexts = np.bincount(either, minlength=len(words))
     kept = np.flatnonzero(contexts >= min_count)
     kept = kept[kept > 0]
-    new = np.zeros(len(number), np.int64)
+    new = np.zeros(len(words), np.int64)
     new[kept] = np.arange(len(kept)) + 2  # 0: the unknown word, 1: the text's start
     new[0] = 1
-    words = list(number)
     vocabulary = {words[i]: int(new[i]) for i in kept}
     v = len(kept) + 2
     uni_counts, seen, kinds, by_class = np.zeros((2, v)), np.zeros((2, v)), np.zeros((2, v)), []
     for c in (0, 1):
-        # the lower order counts contexts, each raw word being one
-        # and the unknown word is a context, not an outcome: how many rare words a class has depends on its sample's size
-        uni_counts[c] = np.bincount(new[np.unique(raw_keys[c]) & 0xFFFFFFFF], minlength=v)
+        raw, times = classes[c]
+        # the lower order counts contexts, each raw word being one; the unknown word is a context, not an outcome:
+        # how many rare words a class has depends on its sample's size
+        uni_counts[c] = np.bincount(new[raw & 0xFFFFFFFF], minlength=v)
         uni_counts[c, 0] = 0
-        outcome = new[raw_keys[c] & 0xFFFFFFFF]
-        key, n = np.unique((new[raw_keys[c] >> 32] * v + outcome)[outcome > 0], return_counts=True)
+        outcome = new[raw & 0xFFFFFFFF]
+        key, back = np.unique((new[raw >> 32] * v + outcome)[outcome > 0], return_inverse=True)
+        n = np.bincount(back, weights=times[outcome > 0], minlength=len(key))
         d = _discount(n)
         np.add.at(seen[c], key // v, n)
         np.add.at(kinds[c], key // v, d)
@@ -125,7 +142,7 @@ def fit_counts(texts: list[list[str]], toxic: list[int], min_count: int) -> Mode
     both[0, back[:first]] = by_class[0][1]
     both[1, back[first:]] = by_class[1][1]
     # shared backoff: in how many contexts a word was seen in either class
-    together = np.bincount(new[np.unique(np.concatenate(raw_keys)) & 0xFFFFFFFF], minlength=v) + 0.5
+    together = np.bincount(new, weights=contexts, minlength=v) + 0.5
     together[:2] = 0.5
     shared = together / together.sum()
     uni = np.zeros((2, v))
@@ -154,44 +171,59 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray
     return w / scale
 
 
-def fit_rows(rows: list[tuple[str | None, int, bool]]) -> Model | None:
-    """rows: (text, toxic, whether it belongs to those that the curve is fitted on)."""
-    if len({t for _, t, _ in rows}) < 2:
+def fit_rows(rows: list[tuple[str, int, int]]) -> Model | None:
+    """rows: (text, toxic, fold). The curve is fitted on each fold's documents as counts of the other folds describe them;
+    the least count of a word is chosen on the first fold. The model's own counts are those of all rows."""
+    y = np.array([c for _, c, _ in rows])
+    fold = np.array([f for _, _, f in rows])
+    if len(set(y.tolist())) < 2:
         return None
-    count = [r for r in rows if not r[2]]
-    curve = [r for r in rows if r[2]]
-    if len({t for _, t, _ in curve}) < 2 or len({t for _, t, _ in count}) < 2:
-        count = curve = rows
-    texts, toxic, y = [tokens(t or "") for t, _, _ in count], [x for _, x, _ in count], np.array([x for _, x, _ in curve], float)
-    best, least = None, np.inf
+    words, pairs = pairs_of([t for t, _, _ in rows])
+    described = lambda m, at: np.array([m.describe(rows[i][0]) for i in at]).reshape(-1, _FEATURES)
+
+    def outside(f: int):
+        at = np.flatnonzero(fold != f)
+        return counted([pairs[i] for i in at], y[at])
+
+    held, classes = np.flatnonzero(fold == 0), outside(0)
+    tried = []
     for n in MIN_COUNTS:
-        model = fit_counts(texts, toxic, n)
-        x = np.array([model.describe(t) for t, _, _ in curve])
-        model.weights = fit_weights(x, y)
-        p = np.clip(model.score(x), 1e-6, 1 - 1e-6)
-        loss = -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
-        if loss < least:
-            best, least = model, loss
-    return best
-
-
-def labelled(docs: DataFrame, labels: DataFrame, where: Column, max_docs: int = MAX_DOCS) -> list[tuple[str | None, int, bool]]:
-    """The bounded sample of labelled documents that where (over doc_id) admits."""
+        x = described(fit_counts(words, classes, n), held)
+        p = np.clip(1 / (1 + np.exp(-np.clip(x @ fit_weights(x, y[held]), -30, 30))), 1e-6, 1 - 1e-6) if len(held) else np.zeros(0)
+        tried.append((-(y[held] * np.log(p) + (1 - y[held]) * np.log(1 - p)).sum(), n, x))
+    _, n, first = min(tried, key=lambda t: t[:2])
+    at, xs = [held], [first]
+    for f in range(1, FOLDS):
+        at.append(np.flatnonzero(fold == f))
+        xs.append(described(fit_counts(words, outside(f), n), at[-1]))
+    model = fit_counts(words, counted(pairs, y), n)
+    model.weights = fit_weights(np.concatenate(xs), y[np.concatenate(at)].astype(float))
+    return model
+
+
+def sample(docs: DataFrame, labels: DataFrame, where: Column, max_docs: int = MAX_DOCS) -> DataFrame:
+    """(id, text, y, fold): the bounded sample of labelled documents that where (over doc_id) admits."""
     marks = labels.select("doc_id", F.col("toxic").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("y").alias("y")).where(where)
     n = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if len(n) < 2:
-        return []
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity sample")), F.lit(1_000_003))
-    share = F.when(F.col("y") == 1, min(1.0, max_docs / n[1])).otherwise(min(1.0, max_docs / n[0]))
+    share = F.when(F.col("y") == 1, min(1.0, max_docs / n.get(1, 1))).otherwise(min(1.0, max_docs / n.get(0, 1)))
     marks = marks.where(draw < share * 1_000_003)  # some 2 * max_docs ids at most, so they may be broadcast
     texts = docs.select(F.col("doc_id").alias("id"), "text").where(F.length("text") <= MAX_WORDS * 8)
-    found = texts.join(F.broadcast(marks), texts.id == marks.doc_id).select("id", "text", "y", (F.pmod(F.xxhash64("id", F.lit("curve")), F.lit(4)) == 0).alias("curve"))
-    rows = sorted(((r["id"], r["text"], r["y"], r["curve"]) for r in found.limit(4 * max_docs).collect()), key=lambda r: (r[0], r[1] or ""))
-    return [(t, y, c) for _, t, y, c in rows if len(tokens(t or "")) <= MAX_WORDS]
+    found = texts.join(F.broadcast(marks), texts.id == marks.doc_id)
+    return found.select(F.col("id").cast("long").alias("id"), "text", F.col("y").cast("int").alias("y"), F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")).limit(3 * max_docs)
 
 
 def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, max_docs: int = MAX_DOCS) -> Model | None:
-    return fit_rows(labelled(docs, labels, F.lit(True) if where is None else where, max_docs))
+    """The sample is bounded, so one task fits the model; the driver gets no more than that."""
+
+    def run(batches):
+        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True)]
+        rows.sort(key=lambda r: (r[0], r[1]))
+        model = fit_rows([(t, y, c) for _, t, y, c in rows if len(tokens(t)) <= MAX_WORDS])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    found = sample(docs, labels, F.lit(True) if where is None else where, max_docs).coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else None
 
 
 def score_documents(docs: DataFrame, model: Model | None, columns: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
