@@ -20,6 +20,7 @@ rows are packed each. Other columns are ignored.
 from __future__ import annotations
 
 import base64
+import functools
 import re
 import zlib
 from dataclasses import dataclass
@@ -63,6 +64,12 @@ class Encoder:
         return self.fast.encode_ordinary(text)
 
 
+@functools.cache
+def encoder(tokenizer: str | None = None, ranks: str | None = None) -> Encoder:
+    """An encoder is read once in each worker, not by each task."""
+    return Encoder(tokenizer, ranks)
+
+
 @dataclass
 class Layout:
     """Where the tokens of queues of these lengths go in the stream, and the stream's sequences."""
@@ -130,11 +137,11 @@ def encoded(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = N
     """(part, doc_id, source, start, n, ids): each document's packed ids with END_ID; start: the tokens of its source before it in its part."""
 
     def run(batches):
-        encoder, part, so_far = Encoder(tokenizer, ranks), TaskContext.get().partitionId(), {}
+        ids_of, part, so_far = encoder(tokenizer, ranks), TaskContext.get().partitionId(), {}
         for batch in batches:
             starts, counts, ids = [], [], []
             for text, source in zip(batch.column("text").to_pylist(), batch.column("source").to_pylist(), strict=True):
-                found = np.array([*encoder.ids(text or ""), END_ID], encoder.width)
+                found = np.array([*ids_of.ids(text or ""), END_ID], ids_of.width)
                 starts.append(so_far.get(source, 0))
                 counts.append(len(found))
                 ids.append(found.tobytes())
@@ -161,7 +168,7 @@ def pack(docs: DataFrame, window: int = WINDOW, slot: int = SLOT, queues: int =
     small = "<u2" if tokenizer is None else None
 
     def run(batches):
-        width = small or Encoder(tokenizer).width
+        width = small or encoder(tokenizer, ranks).width
         for batch in batches:
             out: list[list] = [[] for _ in range(9)]
             columns = [batch.column(c).to_pylist() for c in ("doc_id", "source", "queue", "at", "n", "ids")]
