@@ -12,7 +12,8 @@ from quillspark.llm import common, mixing, packing, simhash, substrings, toxicit
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the class-conditional models don't call toxic; fitted on the labelled documents among docs."""
     model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
-    return toxicity.score_documents(docs, model, tuple(docs.columns)).where(F.col("predicted") == 0).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), "text")
+    return toxicity.score_documents(rows, model, ("__row",)).where(F.col("predicted") == 0).select("__row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
