@@ -93,12 +93,12 @@ SPANS = """SELECT doc_id, page, ord, source_id, s AS i, y1, text AS block_text,
   CASE s WHEN 0 THEN text WHEN 1 THEN CAST(m AS STRING) ELSE ' tail' END AS words, CASE s WHEN 1 THEN font_size * 0.7 ELSE font_size END AS size,
   CASE WHEN s = 1 THEN 'XY+CMMI10' WHEN k % 2 = 0 THEN 'AB+Serif-Bold' ELSE 'AB+Serif' END AS font,
   y1 - 3 + CASE WHEN s = 1 THEN (k % 3 - 1) * 2.0 ELSE 0.0 END AS y, s = 1 AND k = 8 AS raised
-FROM {b} q CROSS JOIN (VALUES (0), (1), (2)) v(s)"""
-SPANS_SQL = "sp AS (" + SPANS.replace("{b}", "b") + ")"
+FROM {b} q """
+SPANS_SQL = "sp AS (" + SPANS.replace("{b}", "b") + " CROSS JOIN (VALUES (0), (1), (2)) v(s))"
 
 
 def span_table(spark: SparkSession, d: str) -> DataFrame:
-    return spark.sql(SPANS, b=block_table(spark, d))
+    return spark.sql(SPANS + "LATERAL VIEW explode(array(0, 1, 2)) v AS s", b=block_table(spark, d))
 
 
 @query("avg_font_size", "SELECT doc_id, ord, round(avg(size), 6) AS size FROM sp GROUP BY doc_id, ord", SPANS_SQL)
@@ -446,6 +446,14 @@ def next_continuation(spark, d):
     return pages.per_page(block_table(spark, d), _COLUMNS, pages.next_continuations, "source_id string, next_id string, scrap_id string").drop("page")
 
 
+@query("next_in_column", "SELECT doc_id, ord, CASE WHEN lead(y0) OVER w - y1 <= 40 AND lead(translate) OVER w THEN lead(source_id) OVER w END AS next_id FROM b WINDOW w AS (PARTITION BY doc_id, page, x0 ORDER BY y0, ord)")
+def next_in_column(spark, d):
+    """The next block of a column if it may carry on: no blocks are skipped, so a window finds it."""
+    w = Window.partitionBy("doc_id", "page", "x0").orderBy("y0", "ord")
+    close = (F.lead("y0").over(w) - F.col("y1") <= 40) & F.lead("translate").over(w)
+    return block_table(spark, d).select("doc_id", "ord", F.when(close, F.lead("source_id").over(w)).alias("next_id"))
+
+
 @query("art_regions")
 def art_regions(spark, d):
     rows = block_table(spark, d).withColumn("y1", F.col("y1") + 30)  # a drawing reaches below its label
