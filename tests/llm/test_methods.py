@@ -220,3 +220,41 @@ def test_clusters_find_directions():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     c, of = clusters(x, 3)
     assert len({tuple(of[i * 40 : (i + 1) * 40]) for i in range(3)}) == 3 and np.allclose(np.linalg.norm(c, axis=1), 1)
+
+
+# ---- alike documents
+
+
+@given(st.lists(st.lists(words64, min_size=2, max_size=2), min_size=0, max_size=50))
+def test_bit_counts(rows):
+    x = np.array(rows, np.uint64).reshape(-1, 2)
+    want = [sum(int(r[b // 64]) >> b % 64 & 1 for r in rows) for b in range(128)]
+    assert simhash.bit_counts(x).tolist() == want
+
+
+def made_documents():
+    """Groups of a text and copies of it with more and more words changed: (doc_id, text) and each text's shingles."""
+    rng = np.random.default_rng(11)
+    out = []
+    for g in range(60):
+        base = [f"w{v}" for v in rng.integers(0, 50_000, int(rng.integers(60, 700)))]
+        for changed in (0, 0, 0.004, 0.01, 0.3):
+            words = list(base)
+            for at in rng.choice(len(words), int(len(words) * changed), replace=False):
+                words[at] = f"x{rng.integers(0, 10**9)}"
+            out.append((len(out), " ".join(words)))
+    shingles = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in out]
+    return out, shingles
+
+
+@pytest.mark.parametrize("tile", [simhash.TILE, 32])
+def test_alike_documents_go_and_others_stay(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "TILE", tile)
+    rows, shingles = made_documents()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.keep_first(docs).collect()}
+    for g in range(0, len(rows), 5):
+        likeness = [len(shingles[g] & shingles[g + k]) / len(shingles[g] | shingles[g + k]) for k in range(5)]
+        assert g in kept
+        for k in range(1, 5):
+            assert g + k not in kept if likeness[k] >= 0.85 else g + k in kept if likeness[k] < 0.5 else True
