@@ -9,7 +9,8 @@ words of that document's own grid (blocks at multiples of BLOCK; 2 * BLOCK - 1 <
    hashed and goes to a bucket, where those that also start in a document of a smaller doc_id are marked.
 3. The marked windows of a document join to maximal repeats, and the words that they cover are removed.
 
-Hashes travel packed, a row for each bucket and group of GROUP documents, so that a probe takes some six bytes.
+Hashes travel packed, in a row for each bucket and many documents, so that a probe takes five bytes and those of its id above
+the row's least one.
 Anchors have 39 bits and their bucket's; what decides are hashes of 64 bits and the bucket, which another hash (the
 least of the window's blocks) gives: texts are held equal if both agree. No window is compared with another: a passage that a third of all
 documents share costs as much as any other words.
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from quillspark.llm import common
 
 LENGTH, BLOCK = 50, 25
-#: Documents that are packed together, and documents for each bucket.
-GROUP, DOCS_PER_BUCKET = 500, 4096
+#: Documents for each bucket, and bits of the buckets' number at most.
+DOCS_PER_BUCKET, MAX_BITS = 1024, 23
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _BLOCK_BITS = 39
 
@@ -73,22 +74,50 @@ def _unpacked(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-def _rows_by_bucket(bucket: np.ndarray, owner: np.ndarray, n: int, parts: list[tuple[np.ndarray, int]]):
-    """(bucket, entries of each owner, packed parts) for each bucket that has entries; entries stay in order of owner."""
+def _width(span: int) -> int:
+    return max(1, (span.bit_length() + 7) // 8)
+
+
+def _rows_by_bucket(bucket: np.ndarray, ids: np.ndarray, parts: list[tuple[np.ndarray, int]]):
+    """(bucket, least id, packed ids above it, packed parts...) for each bucket that has entries."""
+    base = int(ids.min())
+    width = _width(int(ids.max()) - base)
     order = np.argsort(bucket, kind="stable")
-    bucket, owner = bucket[order], owner[order]
+    bucket = bucket[order]
+    packed = [((ids - base).astype(np.uint64)[order], width), *((x[order], w) for x, w in parts)]
+    packed = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :w]) for x, w in packed]
     cuts = np.flatnonzero(np.diff(bucket)) + 1
-    for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(bucket)]]), strict=True):
-        if b > a:
-            yield int(bucket[a]), np.bincount(owner[a:b], minlength=n).astype("<u4").tobytes(), [_packed(x[order[a:b]], width) for x, width in parts]
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)], strict=True):
+        yield (int(bucket[a]), base, *(x[a:b].tobytes() for x in packed))
 
 
-def _grouped(batches, columns):
-    """Rows of several batches in groups of GROUP at most."""
-    for batch in batches:
-        lists = [batch.column(c).cast(pa.binary()).to_pylist() if c == "text" else batch.column(c).to_pylist() for c in columns]
-        for k in range(0, batch.num_rows, GROUP):
-            yield [x[k : k + GROUP] for x in lists]
+def _ids(base: int, packed: bytes, n: int) -> np.ndarray:
+    return _unpacked(packed, len(packed) // n).astype(np.int64) + base
+
+
+def _sent(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * (len(names) - 2)]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+
+
+def _packed_batches(entries, bits: int, widths: list[int], names: list[str]):
+    """Batches of packed rows of entries: (bucket, id, value, ...) arrays of one document after another. So many entries go together
+    that a row has some, however many buckets there are."""
+    enough = max(1 << 18, min(16 << bits, 1 << 22))
+    held, n = [], 0
+
+    def flush():
+        bucket, ids, *values = (np.concatenate(x) for x in zip(*held, strict=True))
+        return _sent(list(_rows_by_bucket(bucket.astype(np.int64), ids, list(zip((v.astype(np.uint64) for v in values), widths, strict=True)))), names)
+
+    for e in entries:
+        held.append(e)
+        n += len(e[0])
+        if n >= enough:
+            yield flush()
+            held, n = [], 0
+    if held:
+        yield flush()
 
 
 def _whole_groups(batches, columns):
@@ -108,7 +137,7 @@ def _whole_groups(batches, columns):
 
 def _bucket_bits(docs: DataFrame) -> int:
     n = docs.count()
-    return min(21, max(4, (n // DOCS_PER_BUCKET).bit_length()))
+    return min(MAX_BITS, max(4, (n // DOCS_PER_BUCKET).bit_length()))
 
 
 def anchors(docs: DataFrame, bits: int, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
@@ -116,28 +145,23 @@ def anchors(docs: DataFrame, bits: int, length: int = LENGTH, block: int = BLOCK
     if 2 * block - 1 > length:
         raise ValueError("a repeat of length words has to hold a whole block")
 
-    def probes(batches):
-        for ids, texts in _grouped(batches, ("doc_id", "text")):
-            hashes, owners, aligned = [], [], []
-            for k, t in enumerate(texts):
+    def entries(batches):
+        for batch in batches:
+            for doc_id, t in zip(batch.column("doc_id").to_pylist(), common.utf8(batch, "text"), strict=True):
                 w = t.split()
                 if len(w) >= length:
                     h = rolling(word_hashes(w), block, 0)
-                    hashes.append(h)
-                    owners.append(np.full(len(h), k))
-                    aligned.append(np.arange(len(h)) % block == 0)
-            if not hashes:
-                continue
-            h, owner, grid = np.concatenate(hashes), np.concatenate(owners), np.concatenate(aligned)
-            entry = (((h << np.uint64(bits)) >> np.uint64(64 - _BLOCK_BITS)) << np.uint64(1)) | grid.astype(np.uint64)
-            out = list(_rows_by_bucket((h >> np.uint64(64 - bits)).astype(np.int64), owner, len(ids), [(entry, 5)]))
-            sent = np.array(ids, "<i8").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([sent] * len(out), pa.binary()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2][0] for x in out], pa.binary())], ["bucket", "ids", "counts", "entries"])
+                    grid = (np.arange(len(h)) % block == 0).astype(np.uint64)
+                    yield h >> np.uint64(64 - bits), np.full(len(h), doc_id), (((h << np.uint64(bits)) >> np.uint64(64 - _BLOCK_BITS)) << np.uint64(1)) | grid
+
+    def probes(batches):
+        yield from _packed_batches(entries(batches), bits, [5], ["bucket", "base", "ids", "entries"])
 
     def met(batches):
-        for bucket, rows in _whole_groups(batches, ("bucket", "ids", "counts", "entries")):
-            doc = np.concatenate([np.repeat(np.frombuffer(i, "<i8"), np.frombuffer(c, "<u4")) for i, c, _ in rows])
-            entry = np.concatenate([_unpacked(e, 5) for _, _, e in rows])
+        for bucket, rows in _whole_groups(batches, ("bucket", "base", "ids", "entries")):
+            entry = [_unpacked(e, 5) for _, _, e in rows]
+            doc = np.concatenate([_ids(i, o, len(e)) for (i, o, _), e in zip(rows, entry, strict=True)])
+            entry = np.concatenate(entry)
             grid, h = (entry & np.uint64(1)).astype(bool), entry >> np.uint64(1)
             order = np.argsort(h, kind="stable")
             doc, grid, h = doc[order], grid[order], h[order]
@@ -156,7 +180,7 @@ def anchors(docs: DataFrame, bits: int, length: int = LENGTH, block: int = BLOCK
             yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array([_packed(np.unique(h[a:b]), 8) for a, b in zip(first, ends, strict=True)], pa.binary())], ["doc_id", "hashes"])
 
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dealt = common.map_batches(rows, probes, "bucket int, ids binary, counts binary, entries binary").repartition("bucket").sortWithinPartitions("bucket")
+    dealt = common.map_batches(rows, probes, "bucket int, base long, ids binary, entries binary").repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(met, "doc_id long, hashes binary")
 
 
@@ -164,10 +188,10 @@ def marked_windows(docs: DataFrame, found: DataFrame, bits: int, length: int = L
     """(doc_id, tag, starts binary): starts (4 bytes each) of the windows that also start in a document of a smaller
     doc_id; tag: 32 bits of the text's hash, for rows that share a doc_id."""
 
-    def windows(batches):
-        for ids, tags, texts, lists in _grouped(batches, ("doc_id", "tag", "text", "hashes")):
-            parts = []
-            for k, (t, blobs) in enumerate(zip(texts, lists, strict=True)):
+    def entries(batches):
+        for batch in batches:
+            columns = [*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "hashes")), common.utf8(batch, "text")]
+            for doc_id, tag, blobs, t in zip(*columns, strict=True):
                 w = t.split()
                 if len(w) < length:
                     continue
@@ -184,22 +208,18 @@ def marked_windows(docs: DataFrame, found: DataFrame, bits: int, length: int = L
                 start = np.flatnonzero(np.cumsum(cover)[:n])
                 # the least block that a window holds decides its bucket: neighbouring windows mostly share it
                 least = np.lib.stride_tricks.sliding_window_view(blocks, length - block + 1).min(axis=1)[start] * np.uint64(_MULTIPLIERS[0])
-                parts.append((np.full(len(start), k), start, rolling(hashes, length, 1)[start], least >> np.uint64(64 - bits)))
-            if not parts:
-                continue
-            owner, start, whole, bucket = (np.concatenate(x) for x in zip(*parts, strict=True))
-            out = list(_rows_by_bucket(bucket.astype(np.int64), owner, len(ids), [(whole, 8), (start.astype(np.uint64), 4)]))
-            sent, tagged = np.array(ids, "<i8").tobytes(), np.array(tags, "<i4").tobytes()
-            cols = [[x[0] for x in out], [sent] * len(out), [tagged] * len(out), [x[1] for x in out], [x[2][0] for x in out], [x[2][1] for x in out]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if not k else pa.binary()) for k, c in enumerate(cols)], ["bucket", "ids", "tags", "counts", "hashes", "starts"])
+                yield least >> np.uint64(64 - bits), np.full(len(start), doc_id), rolling(hashes, length, 1)[start], start, np.full(len(start), tag & 0xFFFFFFFF)
+
+    def windows(batches):
+        yield from _packed_batches(entries(batches), bits, [8, 4, 4], ["bucket", "base", "ids", "hashes", "starts", "tags"])
 
     def judged(batches):
-        for _, rows in _whole_groups(batches, ("bucket", "ids", "tags", "counts", "hashes", "starts")):
-            counts = [np.frombuffer(r[2], "<u4") for r in rows]
-            doc = np.concatenate([np.repeat(np.frombuffer(r[0], "<i8"), c) for r, c in zip(rows, counts, strict=True)])
-            tag = np.concatenate([np.repeat(np.frombuffer(r[1], "<i4"), c) for r, c in zip(rows, counts, strict=True)])
-            h = np.concatenate([np.frombuffer(r[3], "<u8") for r in rows])
-            start = np.concatenate([_unpacked(r[4], 4) for r in rows])
+        for _, rows in _whole_groups(batches, ("bucket", "base", "ids", "hashes", "starts", "tags")):
+            h = [np.frombuffer(r[2], "<u8") for r in rows]
+            doc = np.concatenate([_ids(r[0], r[1], len(x)) for r, x in zip(rows, h, strict=True)])
+            h = np.concatenate(h)
+            start = np.concatenate([_unpacked(r[3], 4) for r in rows])
+            tag = np.concatenate([np.frombuffer(r[4], "<i4") for r in rows])
             order = np.argsort(h, kind="stable")
             first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
             least = np.empty(len(h), np.int64)
@@ -216,7 +236,7 @@ def marked_windows(docs: DataFrame, found: DataFrame, bits: int, length: int = L
 
     met = found.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
     rows = _tagged(docs).where("doc_id is not null and text is not null").select("doc_id", "tag", "text").join(met, "doc_id")
-    dealt = common.map_batches(rows, windows, "bucket int, ids binary, tags binary, counts binary, hashes binary, starts binary").repartition("bucket").sortWithinPartitions("bucket")
+    dealt = common.map_batches(rows, windows, "bucket int, base long, ids binary, hashes binary, starts binary, tags binary").repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(judged, "doc_id long, tag int, starts binary")
 
 
@@ -269,25 +289,21 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, block: int = BLOCK) -
     """docs without the repeated words: texts that lose words are the kept ones joined by spaces, with n_chars
     counted anew; documents of which nothing is left go."""
     marks = _marks(docs, length, block)
-    columns = docs.columns
 
     def run(batches):
         for batch in batches:
             out = []
-            for text, starts in zip(common.utf8(batch, "text"), batch.column("starts").to_pylist(), strict=True):
+            for text, starts in zip(common.utf8(batch, "__body"), batch.column("starts").to_pylist(), strict=True):
                 words, kept = kept_words(text, b"".join(starts), length)
                 out.append(b" ".join([w for w, k in zip(words, kept.tolist(), strict=True) if k]).decode())
-            at = [batch.column(c) if c != "text" else pa.array(out, pa.string()) for c in columns]
-            yield pa.RecordBatch.from_arrays(at, columns)
+            yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array(out, pa.string())], ["__row", "__left"])
 
-    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__tag": F.hash(F.xxhash64("text"))})
+    keyed = docs.select(F.struct(*docs.columns).alias("__row"), F.col("text").alias("__body"), F.col("doc_id").cast("long").alias("__id"), F.hash(F.xxhash64("text")).alias("__tag"))
     joined = keyed.join(marks, (F.col("__id") == marks.of) & (F.col("__tag") == marks.of_tag), "left")
-    same = joined.where("starts is null").select(*columns)
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    cut = common.map_batches(joined.where("starts is not null").select(*columns, "starts"), run, kinds).where("text <> ''")
-    if "n_chars" in columns:
-        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return same.unionByName(cut)
+    same = joined.where("starts is null").select("__row.*")
+    cut = common.map_batches(joined.where("starts is not null").select("__row", "__body", "starts"), run, f"__row {keyed.schema['__row'].dataType.simpleString()}, __left string").where("__left <> ''")
+    new = {"text": F.col("__left")} | ({"n_chars": F.length("__left").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return same.unionByName(cut.select(*[new.get(c, F.col("__row")[c]).alias(c) for c in docs.columns]))
 
 
 #: The same rows from DuckDB.
