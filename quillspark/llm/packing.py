@@ -41,7 +41,8 @@ class Encoder:
     """Ids of texts by the tokenizers file. Texts in which both libraries provably split alike (code points below
     0x250, no run of 1000 characters without a space or of spaces) go through the same vocabulary's ranks, which is faster."""
 
-    _OTHER = re.compile("[^\x00-ɏ]|\\S{1000}|\\s{1000}")
+    _OTHER = re.compile("[^\x00-\u024f]")
+    _RUN = re.compile("\\S{1000}|\\s{1000}")
 
     def __init__(self, tokenizer: str | None = None, ranks: str | None = None):
         import public_tokenizers
@@ -58,8 +59,19 @@ class Encoder:
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
         self.width = "<u2" if self.exact.get_vocab_size() <= 1 << 16 else "<u4"
 
+    def _alike(self, text: str) -> bool:
+        """Whether both libraries provably split the text alike."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            if self._OTHER.search(text):
+                return False
+        # a run of 1000 holds a whole stretch of 500 that has no space, or nothing else
+        stretches = range(0, len(text) - 499, 500)
+        return not any(text.find(" ", i, i + 500) < 0 or text[i : i + 500].isspace() for i in stretches) or not self._RUN.search(text)
+
     def ids(self, text: str) -> list[int]:
-        if self.fast is None or self._OTHER.search(text):
+        if self.fast is None or not self._alike(text):
             return self.exact.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
