@@ -55,21 +55,11 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(((2 * bit_counts(hashes[:, None]) > len(hashes)).astype(np.uint64) << _BITS).sum())
 
 
-def bit_counts(rows: np.ndarray) -> np.ndarray:
-    """How many rows have each bit of 64-bit words [row, word]: full adders over whole words, so that a row costs a few operations."""
+def bit_counts(rows: np.ndarray, step: int = 8192) -> np.ndarray:
+    """How many rows have each bit of 64-bit words [row, word]; a step's counts fit 16 bits."""
     total = np.zeros(64 * rows.shape[1], np.int64)
-    weight = 1
-    while len(rows):
-        carried = []
-        while len(rows) >= 3:
-            m = len(rows) // 3
-            a, b, c = rows[:m], rows[m : 2 * m], rows[2 * m : 3 * m]
-            u = a ^ b
-            carried.append((a & b) | (u & c))
-            rows = np.concatenate([u ^ c, rows[3 * m :]])
-        total += weight * np.unpackbits(np.ascontiguousarray(rows).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        rows = np.concatenate(carried) if carried else rows[:0]
-        weight *= 2
+    for k in range(0, len(rows), step):
+        total += np.unpackbits(np.ascontiguousarray(rows[k : k + step]).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
     return total
 
 
