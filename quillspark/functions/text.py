@@ -18,6 +18,11 @@ def extract(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+def extract_if(needs: Column, text: Column, pattern: str) -> Column:
+    """As extract(), where a text without what every match needs isn't searched."""
+    return F.when(needs, extract(text, pattern)).otherwise(F.array().cast("array<string>"))
+
+
 def visible_prose(text: Column) -> Column:
     return F.regexp_replace(text, "</?(?:sub|sup)>", "")
 
@@ -45,7 +50,8 @@ def symbols(text: Column) -> Column:
 
 def protected_tokens(text: Column) -> Column:
     """Distinct tokens, first seen first, by pattern in order."""
-    found = [extract(text, p) for p in (P.QUANTITY, P.NUMERIC, P.CITATION, P.FIGURE, P.SUBSCRIPT_VARIABLE, P.SYMBOL)]
+    digit, low = text.rlike("[0-9]"), F.contains(text, F.lit("_"))
+    found = [extract_if(digit, text, p) for p in (P.QUANTITY, P.NUMERIC, P.CITATION)] + [extract(text, P.FIGURE), extract_if(low, text, P.SUBSCRIPT_VARIABLE), extract(text, P.SYMBOL)]
     return F.array_distinct(F.filter(F.transform(F.concat(*found), stripped), lambda x: x != ""))
 
 
