@@ -8,7 +8,8 @@ is described by its length-normalised log-likelihood difference, of the whole te
 of WINDOWS words; a logistic curve over these, fitted on documents that the counts haven't seen, gives the score.
 
 The models are fitted on a bounded sample of labelled rows: MAX_DOCS documents of each class at most, of
-MAX_WORDS words at most, chosen by a hash of their ids. Every document is scored over its whole text.
+MAX_WORDS words at most, chosen by a hash of their ids; the curve weighs each row by the inverse of its class's share
+in the sample, so that scores keep the classes' proportions at every size. Every document is scored over its whole text.
 
 Defined results: null text is empty and has the score of a text without evidence; labels other than 0 and 1
 don't count, and of several labels of a document the largest does; without labelled documents of both classes
@@ -156,29 +157,30 @@ def fit_counts(words: list[str], counts, min_count: int) -> Model:
     return Model(vocabulary, np.maximum(uni, 1e-12), pooled[often], both[:, often], seen, kinds, np.zeros(_FEATURES))
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Logistic regression by Newton's method, classes weighed by their share in the sample."""
+def fit_weights(x: np.ndarray, y: np.ndarray, times: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Logistic regression by Newton's method; a row stands for times rows, the inverse of its class's share in the sample."""
     w = np.zeros(x.shape[1])
     scale = np.maximum(np.abs(x).max(axis=0), 1e-9)
     x = x / scale
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge * np.eye(x.shape[1])
-        step = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+        h = (x * (times * (p * (1 - p) + 1e-9))[:, None]).T @ x + ridge * np.eye(x.shape[1])
+        step = np.linalg.solve(h, x.T @ (times * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
     return w / scale
 
 
-def fit_rows(rows: list[tuple[str, int, int]]) -> Model | None:
-    """rows: (text, toxic, fold). The curve is fitted on each fold's documents as counts of the other folds describe them;
+def fit_rows(rows: list[tuple[str, int, int, float]]) -> Model | None:
+    """rows: (text, toxic, fold, times: how many labelled rows it stands for). The curve is fitted on each fold's documents as counts of the other folds describe them;
     the least count of a word is chosen on the first fold. The model's own counts are those of all rows."""
-    y = np.array([c for _, c, _ in rows])
-    fold = np.array([f for _, _, f in rows])
+    y = np.array([c for _, c, _, _ in rows])
+    fold = np.array([f for _, _, f, _ in rows])
+    times = np.array([n for _, _, _, n in rows])
     if len(set(y.tolist())) < 2:
         return None
-    words, pairs = pairs_of([t for t, _, _ in rows])
+    words, pairs = pairs_of([t for t, _, _, _ in rows])
     described = lambda m, at: np.array([m.describe(rows[i][0]) for i in at]).reshape(-1, _FEATURES)
 
     def outside(f: int):
@@ -189,37 +191,38 @@ def fit_rows(rows: list[tuple[str, int, int]]) -> Model | None:
     tried = []
     for n in MIN_COUNTS:
         x = described(fit_counts(words, classes, n), held)
-        p = np.clip(1 / (1 + np.exp(-np.clip(x @ fit_weights(x, y[held]), -30, 30))), 1e-6, 1 - 1e-6) if len(held) else np.zeros(0)
-        tried.append((-(y[held] * np.log(p) + (1 - y[held]) * np.log(1 - p)).sum(), n, x))
+        p = np.clip(1 / (1 + np.exp(-np.clip(x @ fit_weights(x, y[held], times[held]), -30, 30))), 1e-6, 1 - 1e-6) if len(held) else np.zeros(0)
+        tried.append((-(times[held] * (y[held] * np.log(p) + (1 - y[held]) * np.log(1 - p))).sum(), n, x))
     _, n, first = min(tried, key=lambda t: t[:2])
     at, xs = [held], [first]
     for f in range(1, FOLDS):
         at.append(np.flatnonzero(fold == f))
         xs.append(described(fit_counts(words, outside(f), n), at[-1]))
     model = fit_counts(words, counted(pairs, y), n)
-    model.weights = fit_weights(np.concatenate(xs), y[np.concatenate(at)].astype(float))
+    every = np.concatenate(at)
+    model.weights = fit_weights(np.concatenate(xs), y[every].astype(float), times[every])
     return model
 
 
 def sample(docs: DataFrame, labels: DataFrame, where: Column, max_docs: int = MAX_DOCS) -> DataFrame:
-    """(id, text, y, fold): the bounded sample of labelled documents that where (over doc_id) admits."""
+    """(id, text, y, fold, times): the bounded sample of labelled documents that where (over doc_id) admits; a row stands for times rows of its class."""
     marks = labels.select("doc_id", F.col("toxic").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("y").alias("y")).where(where)
     n = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity sample")), F.lit(1_000_003))
-    share = F.when(F.col("y") == 1, min(1.0, max_docs / n.get(1, 1))).otherwise(min(1.0, max_docs / n.get(0, 1)))
+    share = F.when(F.col("y") == 1, F.lit(min(1.0, max_docs / n.get(1, 1)))).otherwise(F.lit(min(1.0, max_docs / n.get(0, 1))))
     marks = marks.where(draw < share * 1_000_003)  # some 2 * max_docs ids at most, so they may be broadcast
     texts = docs.select(F.col("doc_id").alias("id"), "text").where(F.length("text") <= MAX_WORDS * 8)
     found = texts.join(F.broadcast(marks), texts.id == marks.doc_id)
-    return found.select(F.col("id").cast("long").alias("id"), "text", F.col("y").cast("int").alias("y"), F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")).limit(3 * max_docs)
+    return found.select(F.col("id").cast("long").alias("id"), "text", F.col("y").cast("int").alias("y"), F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"), (1 / share).alias("times")).limit(3 * max_docs)
 
 
 def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, max_docs: int = MAX_DOCS) -> Model | None:
     """The sample is bounded, so one task fits the model; the driver gets no more than that."""
 
     def run(batches):
-        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True)]
+        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True)]
         rows.sort(key=lambda r: (r[0], r[1]))
-        model = fit_rows([(t, y, c) for _, t, y, c in rows if len(tokens(t)) <= MAX_WORDS])
+        model = fit_rows([(t, y, c, n) for _, t, y, c, n in rows if len(tokens(t)) <= MAX_WORDS])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     found = sample(docs, labels, F.lit(True) if where is None else where, max_docs).coalesce(1).mapInArrow(run, "model binary").collect()
