@@ -72,19 +72,26 @@ class Model:
     def describe(self, text: str | None) -> np.ndarray:
         """1, then the difference of the whole text by its length and its length's root, then of the most toxic window of each size.
 
-        A word counts where it is seen first, as in training, where a pair counts once for a document."""
-        get = self.vocabulary.get
-        ids = np.fromiter((get(w, 0) for w in tokens(text or "")), np.int64)
-        if not len(ids):
+        A pair counts once in the text and once in each window, as in training, where it counts once for a document."""
+        number: dict[str, int] = {"": 0}
+        raw = np.fromiter((number.setdefault(w, len(number)) for w in tokens(text or "")), np.int64)
+        if not len(raw):
             return np.eye(1, _FEATURES)[0]
-        d = self.difference(ids)
-        first = np.zeros(len(ids), bool)
-        first[np.unique(ids, return_index=True)[1]] = True
-        d = np.where(first & (ids > 0), d, 0.0)  # the unknown word says nothing
-        total = np.concatenate([[0.0], np.cumsum(d)])
-        n = len(d)
-        top = [(total[min(k, n) :] - total[: n + 1 - min(k, n)]).max() / k for k in WINDOWS]
-        return np.array([1.0, total[-1] / n, total[-1] / np.sqrt(n), *top])
+        get = self.vocabulary.get
+        ids = np.fromiter((get(w, 0) for w in number), np.int64)[raw]
+        d = np.where(ids > 0, self.difference(ids), 0.0)  # the unknown word says nothing
+        # where each word's pair was seen before; a window that begins after that counts it
+        pair = (np.concatenate([[0], raw[:-1]]) << 32) + raw
+        order = np.argsort(pair, kind="stable")
+        again = np.flatnonzero(pair[order[1:]] == pair[order[:-1]]) + 1
+        before = np.full(len(raw), -1)
+        before[order[again]] = order[again - 1]
+        n, total, top = len(d), d[before < 0].sum(), []
+        for k in WINDOWS:
+            from_, last = np.maximum(before + 1, np.arange(n) - min(k, n) + 1).clip(0), np.arange(n) + 1
+            change = np.bincount(from_, d, n + 1) - np.bincount(last, d, n + 1)  # of the window's sum, by where it begins
+            top.append(np.cumsum(change)[: n + 1 - min(k, n)].max() / k)
+        return np.array([1.0, total / n, total / np.sqrt(n), *top])
 
     def score(self, described: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(described @ self.weights, -30, 30)))

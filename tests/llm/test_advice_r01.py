@@ -22,3 +22,34 @@ def test_capped_sample_keeps_the_classes_proportions(spark):
     whole, capped = mean(toxicity.fit(docs, labels)), mean(toxicity.fit(docs, labels, max_docs=170))
     assert abs(whole[0] - toxic.mean()) < 0.03
     assert abs(capped[0] - whole[0]) < 0.06 and abs(capped[1] - whole[1]) < 0.08
+
+
+def small_model():
+    bad, good = ["kill them all now", "kill them all here"], ["them all now here kill time", "now all of them stay here", "time to kill here"]
+    words, pairs = toxicity.pairs_of(bad * 8 + good * 8)
+    return toxicity.fit_counts(words, toxicity.counted(pairs, np.array([1] * 16 + [0] * 24)), 1)
+
+
+def test_toxic_passage_of_known_words_counts_late_in_a_text():
+    model = small_model()
+    clean = " ".join(["now all of them stay here time to kill here"] * 40)
+    without, late, early = (model.describe(t) for t in (clean, f"{clean} kill them all now", f"kill them all now {clean}"))
+    assert (late[1:] > without[1:]).all()
+    assert np.allclose(late[3:], early[3:], rtol=0.3)
+
+
+def test_windows_count_a_pair_once_in_each():
+    model = small_model()
+    text = "kill them all now stay " * 30 + "time to kill them all here now all of them " * 20
+    words = toxicity.tokens(text)
+    ids = np.array([model.vocabulary.get(w, 0) for w in words])
+    d = np.where(ids > 0, model.difference(ids), 0.0)
+    pair = list(zip(["", *words], words, strict=False))
+    want = []
+    for k in toxicity.WINDOWS:
+        size, sums = min(k, len(d)), []
+        for a in range(len(d) - size + 1):
+            once = {pair[i]: d[i] for i in reversed(range(a, a + size))}
+            sums.append(sum(once.values()))
+        want.append(max(sums) / k)
+    assert np.allclose(model.describe(text)[3:], want)
