@@ -12,6 +12,7 @@ as several tiles, and pairs of tiles to different tasks. A task returns the link
 
 Groups of a given likeness (like_groups, keep_first) are found in the same way over fingerprints of 512 bits: the tiles are
 those of documents of about as many shingles, the first 64 bits are compared over all pairs of tiles, and all bits where these are near.
+What these links join are candidates: within each group of candidates, links are those of pairs whose sets of shingles have the likeness.
 
 Defined results: null text is empty; a text of fewer words than a shingle is one shingle of all its words, one
 without words has the fingerprint zero and is linked like any other. Repeated rows are one group. A component's id
@@ -33,10 +34,13 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Fingerprints of a tile that is compared by one task; rows and columns that numpy compares at once.
 TILE, STEP = 16384, 1024
 _BITS = np.arange(64, dtype=np.uint64)
-#: Alike documents: shingles of five words, fingerprints of eight words of 64 bits, the bits in which the first word and all words may
-#: differ, and the ratio of numbers of different shingles. Where 0.8 of all shingles are shared, 15.1 % of the bits differ on
-#: average (9.7 of 64, 77 of 512) with deviations of 2.9 and 8.1; where 0.6 are shared, 23 % (118 of 512).
-LIKE_SHINGLE, LIKE_WORDS, LIKE_FIRST, LIKE_RADIUS, LIKE_RATIO = 5, 8, 17, 92, 0.8
+#: Alike documents: shingles of five words, fingerprints of eight words of 64 bits, the bits in which the first word (of documents of fewer
+#: than LIKE_FEW shingles, and of others) and all words of candidates may differ, and the least likeness, also of numbers of different
+#: shingles. At a likeness of 0.8 or more a bit differs with odds of 0.1875 at most (5 and 4 shingles), 0.161 from 8 shingles on, so
+#: beyond the first word's bits lie at most 1.1e-6 and 8.9e-6 of such pairs, beyond all words' 2.9e-9.
+LIKE_SHINGLE, LIKE_WORDS, LIKE_FEW, LIKE_FIRST, LIKE_RADIUS, LIKE_RATIO = 5, 8, 8, (28, 24), 150, 0.8
+#: Shingles of a tile of one group of candidates.
+LIKE_TILE = 1 << 20
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -106,22 +110,40 @@ def near_pairs(left: np.ndarray, right: np.ndarray | None, radius: int):
                 yield i, j
 
 
-def _joined(n: int, pieces) -> np.ndarray:
-    """Of n positions, the least one that each is joined to by the pairs in pieces."""
+def _merge(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Roots after the pairs i, j are joined."""
+    while len(i):
+        a, b = root[i], root[j]
+        apart = a != b
+        if not apart.any():
+            break
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+    return root
+
+
+def _joined(n: int, pieces, holds=None) -> np.ndarray:
+    """Of n positions, the least one that each is joined to by the pairs in pieces; of these only pairs for which holds(i, j) is true,
+    which isn't asked of pairs that others have joined."""
     root = np.arange(n)
     for i, j in pieces:
-        while len(i):
-            a, b = root[i], root[j]
-            apart = a != b
-            if not apart.any():
+        if holds is None:
+            root = _merge(root, i, j)
+            continue
+        while True:
+            apart = root[i] != root[j]
+            i, j = i[apart], j[apart]
+            if not len(i):
                 break
-            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-            while True:
-                up = root[root]
-                if (up == root).all():
-                    break
-                root = up
+            once = np.unique(root[i], return_index=True)[1]  # one pair of each group, then what it joins is known
+            good = once[[holds(x, y) for x, y in zip(i[once].tolist(), j[once].tolist(), strict=True)]]
+            root = _merge(root, i[good], j[good])
+            i, j = np.delete(i, once), np.delete(j, once)
     return root
 
 
@@ -201,18 +223,29 @@ def grouped(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
 # ---- groups of a given likeness
 
 
-def signature(text: bytes, shingle: int = LIKE_SHINGLE, words: int = LIKE_WORDS) -> tuple[int, bytes]:
-    """The number of different shingles of a text in UTF-8, and the fingerprint of 64 * words bits of these."""
+def shingle_hashes(text: bytes, shingle: int = LIKE_SHINGLE) -> np.ndarray:
+    """The hashes of the different shingles of a text in UTF-8, in order."""
     tokens = text.lower().split()
     if not tokens:
-        return 0, bytes(8 * words)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(lengths + 1) - 1
     k = min(shingle, len(tokens))
     digest = xxhash.xxh64_intdigest
     pairs = zip((ends - lengths)[: len(tokens) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
-    h = np.unique(np.fromiter([digest(joined[a:b], SEED) for a, b in pairs], np.uint64, len(tokens) - k + 1))
+    return np.unique(np.fromiter([digest(joined[a:b], SEED) for a, b in pairs], np.uint64, len(tokens) - k + 1))
+
+
+def signature(text: bytes, shingle: int = LIKE_SHINGLE, words: int = LIKE_WORDS) -> tuple[int, bytes]:
+    """The number of different shingles of a text in UTF-8, and the fingerprint of 64 * words bits of these."""
+    return signed(shingle_hashes(text, shingle), words)
+
+
+def signed(h: np.ndarray, words: int = LIKE_WORDS) -> tuple[int, bytes]:
+    """The same of the hashes of a text's shingles."""
+    if not len(h):
+        return 0, bytes(8 * words)
     # further words of a shingle's hash are mixed from the first
     z = h[:, None] + np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -234,8 +267,21 @@ def signatures(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), text: st
     return common.map_batches(rows, run, f"{kinds}, n long, sig binary").withColumn("node", F.xxhash64("n", "sig"))
 
 
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(node, set): the shingles' hashes of each different text."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_hashes(t) for t in common.utf8(batch, "text")]
+            found = [signed(h) for h in sets]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], ["n", "sig", "set"])
+
+    found = common.map_batches(texts.select("text"), run, "n long, sig binary, set binary")
+    return found.select(F.xxhash64("n", "sig").alias("node"), "set")
+
+
 def like_links(nodes: DataFrame, total: int) -> DataFrame:
-    """(a, b): links that join all nodes (node, n, sig) of which the first words differ in at most LIKE_FIRST bits, all words in at
+    """(a, b): links that join all candidates (node, n, sig), of which the first words differ in at most LIKE_FIRST bits, all words in at
     most LIKE_RADIUS, and the numbers of shingles by no more than the likeness allows.
 
     Nodes lie in bands of their numbers of shingles, so that nodes that may be alike are in one band or in neighbouring ones, and in
@@ -278,38 +324,84 @@ def like_links(nodes: DataFrame, total: int) -> DataFrame:
             yield _stars(*compared(key, held))
 
     def compared(key, held):
-        left, node, n, sig = (np.concatenate([h[k] for h in held]) for k in range(4))
-        order = np.argsort(np.bitwise_count(sig[:, 0]), kind="stable")
-        left, node, n, sig = left[order].astype(bool), node[order], n[order], sig[order]
-        if not key[1] and key[2] == key[3]:
-            pieces = near_pairs(sig[:, 0].copy(), None, LIKE_FIRST)
-        else:
-            l, r = np.flatnonzero(left), np.flatnonzero(~left)
-            pieces = ((l[i], r[j]) for i, j in near_pairs(sig[l, 0], sig[r, 0], LIKE_FIRST))
+        return _alike(*(np.concatenate([h[k] for h in held]) for k in range(4)), not key[1] and key[2] == key[3])
 
-        def alike():
-            for i, j in pieces:
-                keep = np.minimum(n[i], n[j]) >= LIKE_RATIO * np.maximum(n[i], n[j])
-                i, j = i[keep], j[keep]
-                for a in range(0, len(i), 1 << 17):
-                    x, y = i[a : a + (1 << 17)], j[a : a + (1 << 17)]
-                    keep = np.bitwise_count(sig[x] ^ sig[y]).sum(axis=1, dtype=np.int64) <= LIKE_RADIUS
-                    yield x[keep], y[keep]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
 
-        root = _joined(len(node), alike())
-        at = np.flatnonzero(root != np.arange(len(node)))
-        return node[at], node[root[at]]
 
-    def _stars(a, b):
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def _stars(a, b):
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _alike(left, node, n, sig, alone: bool, sets: list | None = None):
+    """Links among the nodes of a task: of a tile with itself, or of the left ones with the others. With sets, those of pairs of the likeness."""
+    order = np.argsort(np.bitwise_count(sig[:, 0]), kind="stable")
+    left, node, n, sig = left[order].astype(bool), node[order], n[order], sig[order]
+    first = LIKE_FIRST[0 if n.min() < LIKE_FEW else 1]
+    if alone:
+        pieces = near_pairs(sig[:, 0].copy(), None, first)
+    else:
+        l, r = np.flatnonzero(left), np.flatnonzero(~left)
+        pieces = ((l[i], r[j]) for i, j in near_pairs(sig[l, 0], sig[r, 0], first))
+
+    def near():
+        for i, j in pieces:
+            keep = np.minimum(n[i], n[j]) >= LIKE_RATIO * np.maximum(n[i], n[j]) - 1e-9
+            i, j = i[keep], j[keep]
+            for a in range(0, len(i), 1 << 17):
+                x, y = i[a : a + (1 << 17)], j[a : a + (1 << 17)]
+                keep = np.bitwise_count(sig[x] ^ sig[y]).sum(axis=1, dtype=np.int64) <= LIKE_RADIUS
+                yield x[keep], y[keep]
+
+    def holds(x, y):
+        both = np.sort(np.concatenate([np.frombuffer(sets[order[x]], np.uint64), np.frombuffer(sets[order[y]], np.uint64)]))
+        shared = np.count_nonzero(both[1:] == both[:-1])
+        return shared >= LIKE_RATIO * (len(both) - shared) - 1e-9
+
+    root = _joined(len(node), near(), holds if sets else None)
+    at = np.flatnonzero(root != np.arange(len(node)))
+    return node[at], node[root[at]]
+
+
+def alike_links(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links that join all nodes (c, node, n, sig) of one group of candidates c of which the sets of shingles have a likeness of
+    LIKE_RATIO. A group of many shingles is dealt out as pairs of tiles."""
+    sizes = nodes.groupBy("c").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / LIKE_TILE)).cast("int").alias("tiles"))
+    laid = nodes.join(sizes, "c").join(sets, "node").withColumn("own", F.pmod(F.xxhash64("node", F.lit("set")), F.col("tiles")).cast("int"))
+    laid = laid.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    laid = laid.select("c", F.least("own", "with").alias("p"), F.greatest("own", "with").alias("q"), "own", "node", "n", "sig", "set")
+    keys = ["c", "p", "q"]
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+    def run(batches):
+        key, held = None, []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
+                if row[:3] != key and held:
+                    yield _stars(*compared(key, held))
+                    held = []
+                key = row[:3]
+                held.append(row[3:])
+        if held:
+            yield _stars(*compared(key, held))
+
+    def compared(key, held):
+        own, node, n, sig, sets = zip(*held, strict=True)
+        sig = np.frombuffer(b"".join(sig), np.uint64).reshape(len(n), -1)
+        return _alike(np.array(own) == key[1], np.array(node, np.int64), np.array(n, np.int64), sig, key[1] == key[2], sets)
+
+    return laid.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
 
 
-def like_groups(marked: DataFrame) -> DataFrame:
-    """component_id for rows (doc_id, n, sig, node): documents whose signatures are joined by like_links()."""
+def like_groups(marked: DataFrame, docs: DataFrame) -> DataFrame:
+    """component_id for rows (doc_id, n, sig, node) of docs: documents joined by pairs of a likeness of LIKE_RATIO or more."""
     nodes = common.stored(marked.groupBy("node", "n", "sig").agg(F.min("doc_id").alias("least")), "nodes")
     reached = components(like_links(nodes, nodes.count())).withColumnRenamed("node", "at")
+    near = common.stored(nodes.join(reached, nodes.node == reached["at"]).select(F.col("component").alias("c"), "node", "n", "sig", "least"), "candidates")
+    some = near.select(F.col("least").alias("__least")).distinct()
+    texts = docs.select("doc_id", "text").join(some, F.col("doc_id").eqNullSafe(F.col("__least")), "left_semi")
+    # only the sets of candidates are laid out; texts of other nodes (other rows of an id) go
+    sets = common.stored(shingle_sets(texts).join(near.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    reached = components(alike_links(near.drop("least"), sets)).withColumnRenamed("node", "at")
     nodes = nodes.join(reached, nodes.node == reached["at"], "left").select("node", F.coalesce("component", "node").alias("c"), "least")
     least = nodes.groupBy("c").agg(F.min("least").alias("component_id"))
     of = nodes.join(least, "c").select(F.col("node").alias("of"), "component_id")
@@ -321,7 +413,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     equal in doc_id and text one stays. Of rows without doc_id, one stays for each group that has no other rows."""
     columns = docs.columns
     marked = common.stored(signatures(docs).distinct(), "simhash")
-    kept = like_groups(marked).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id"), F.col("node").alias("__kept_node"))
+    kept = like_groups(marked, docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id"), F.col("node").alias("__kept_node"))
     named = docs.join(kept.select("__kept_id").where("__kept_id is not null").distinct(), F.col("doc_id") == F.col("__kept_id")).select(*columns).dropDuplicates(["doc_id", "text"])
     nameless = signatures(docs.where("doc_id is null").select(F.struct(*columns).alias("__row"), "text"), ("__row",))
     first = kept.where("__kept_id is null").select("__kept_node").distinct()

@@ -1,8 +1,9 @@
 """Cases that a review has found: each asks for the whole job."""
 
 import numpy as np
+import pytest
 
-from quillspark.llm import toxicity
+from quillspark.llm import simhash, toxicity
 
 # ---- toxicity
 
@@ -53,3 +54,27 @@ def test_windows_count_a_pair_once_in_each():
             sums.append(sum(once.values()))
         want.append(max(sums) / k)
     assert np.allclose(model.describe(text)[3:], want)
+
+
+# ---- alike documents
+
+
+def likeness(a, b):
+    x, y = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("tile", [1 << 20, 1])
+def test_alike_documents_by_their_shingles(spark, monkeypatch, tile):
+    """Each pair's second text goes if and only if 0.8 of the shingles are shared; its texts share none with other pairs."""
+    monkeypatch.setattr(simhash, "LIKE_TILE", tile, raising=False)
+    rng = np.random.default_rng(9)
+    pairs = []
+    for k in range(400):
+        words = [f"{k}x{v}" for v in range(9 if k % 2 else int(rng.integers(60, 300)))]
+        n = len(words) - 4
+        other = words[: 4 + int(np.ceil(n * rng.choice([0.7, 0.75, 0.78, 0.8, 0.82])))]
+        pairs.append((" ".join(words), " ".join(other)))
+    docs = spark.createDataFrame([(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)], "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.keep_first(docs).collect()}
+    assert kept == {2 * i for i in range(len(pairs))} | {2 * i + 1 for i, p in enumerate(pairs) if likeness(*p) < 0.8}
