@@ -39,7 +39,7 @@ TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 class Encoder:
     """Ids of texts by the tokenizers file. Texts in which both libraries provably split alike (code points below
-    0x250, no run of 1000 characters without a space or of spaces) go through the same vocabulary's ranks, which is faster."""
+    0x250, no run of 1000 characters without a space or of spaces, no added token's string) go through the same vocabulary's ranks, which is faster."""
 
     _OTHER = re.compile("[^\x00-\u024f]")
     _RUN = re.compile("\\S{1000}|\\s{1000}")
@@ -49,7 +49,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(tokenizer or public_tokenizers.path(TOKENIZER))
-        self.exact.encode_special_tokens = True
+        added = [t.content for t in self.exact.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.fast = None
         if tokenizer is None or ranks is not None:
             import tiktoken
@@ -61,6 +62,8 @@ class Encoder:
 
     def _alike(self, text: str) -> bool:
         """Whether both libraries provably split the text alike."""
+        if self.added and self.added.search(text):
+            return False
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:

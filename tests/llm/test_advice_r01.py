@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from quillspark.llm import simhash, toxicity
+from quillspark.llm import packing, simhash, toxicity
 
 # ---- toxicity
 
@@ -78,3 +78,17 @@ def test_alike_documents_by_their_shingles(spark, monkeypatch, tile):
     docs = spark.createDataFrame([(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)], "doc_id long, text string")
     kept = {r["doc_id"] for r in simhash.keep_first(docs).collect()}
     assert kept == {2 * i for i in range(len(pairs))} | {2 * i + 1 for i, p in enumerate(pairs) if likeness(*p) < 0.8}
+
+
+# ---- packing
+
+
+def test_ids_of_added_tokens_are_the_library_s():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    added = [t.content for t in plain.get_added_tokens_decoder().values()]
+    assert added
+    for text in (f"before {added[0]} after", added[-1], "none of them"):
+        assert packing.Encoder().ids(text) == plain.encode(text, add_special_tokens=False).ids
