@@ -21,7 +21,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matroska.read_back(matroska.encode_texts(table(spark, sf_dir, "documents")))
+    return matroska.read_back(stored(matroska.encode_texts(table(spark, sf_dir, "documents")), "media"))
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from quillspark.llm import packing, simhash, toxicity
+from quillspark.llm import packing, queries, simhash, toxicity
 
 # ---- toxicity
 
@@ -92,3 +92,10 @@ def test_ids_of_added_tokens_are_the_library_s():
     assert added
     for text in (f"before {added[0]} after", added[-1], "none of them"):
         assert packing.Encoder().ids(text) == plain.encode(text, add_special_tokens=False).ids
+
+
+# ---- Matroska
+
+
+def test_media_are_stored_and_read_back(spark, sf_dir):
+    assert all("/quillspark/media-" in f for f in queries.op3_matroska(spark, sf_dir).inputFiles())
