@@ -6,7 +6,8 @@ nearest by cosine. Rejection is by distance: a centroid has a radius, the cosine
 sample reach, and a text beyond it is rejected.
 
 Document frequencies come from all training documents; the centroids are fitted on a bounded sample of them,
-MAX_DOCS documents over all languages and MAX_PER_LANGUAGE of one (documents of up to MAX_CHARS characters).
+MAX_DOCS documents over all languages and MAX_PER_LANGUAGE of one (documents of up to MAX_CHARS characters; of a
+language that has no such documents, longer ones), but LEAST_PER_LANGUAGE of each at least. Every language is learned.
 
 Defined results: ``und`` with score 0 for a null text or one without letters, or if nothing was learned; null
 languages aren't learned. Equal cosines go to the language that comes first by code point. Repeated rows are
@@ -27,6 +28,8 @@ from quillspark.llm import common
 
 #: Hashed dimensions, centroids of a language, and the sample's bounds.
 DIMENSIONS, CENTROIDS, MAX_DOCS, MAX_PER_LANGUAGE, MAX_CHARS, REJECT = 8192, 4, 4000, 600, 30_000, 0.005
+#: Of many languages, so many documents of each are drawn at least (none is left without by the draw).
+LEAST_PER_LANGUAGE = 16
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -121,13 +124,16 @@ def fit(docs: DataFrame, where: Column | None = None, max_docs: int = MAX_DOCS)
     for r in common.map_batches(rows.select("text"), frequencies, "d int, n long").groupBy("d").agg(F.sum("n").alias("n")).collect():  # DIMENSIONS + 1 rows at most
         df[r["d"]] = r["n"]
     idf = np.log((1 + df[DIMENSIONS]) / (1 + df[:DIMENSIONS])) + 1
-    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
+    short = F.length("text") <= MAX_CHARS
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n"), F.count(F.when(short, 1)).alias("short")).collect()  # a row for each language
+    n = {r["lang"]: r["short"] or r["n"] for r in counted}
+    only_long = [r["lang"] for r in counted if not r["short"]]
     if not n:
         return fit_vectors([], idf)
-    per = max(4, min(MAX_PER_LANGUAGE, max_docs // len(n)))
+    per = max(LEAST_PER_LANGUAGE, min(MAX_PER_LANGUAGE, max_docs // len(n)))
     share = F.create_map(*[F.lit(x) for lang, k in n.items() for x in (lang, min(1.0, per / k))])
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1_000_003))
-    drawn = rows.where((F.length("text") <= MAX_CHARS) & (draw < F.element_at(share, F.col("lang")) * 1_000_003))
+    drawn = rows.where((short | F.col("lang").isin(only_long)) & (draw < F.element_at(share, F.col("lang")) * 1_000_003))
 
     def vectors(batches):
         for batch in batches:
@@ -135,7 +141,7 @@ def fit(docs: DataFrame, where: Column | None = None, max_docs: int = MAX_DOCS)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array([a.astype("<i4").tobytes() for a, _ in found], pa.binary()), pa.array([c.astype("<f4").tobytes() for _, c in found], pa.binary())], ["doc_id", "lang", "at", "counts"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    sample = common.map_batches(drawn, vectors, f"doc_id {kind}, lang string, at binary, counts binary").limit(2 * max_docs).collect()
+    sample = common.map_batches(drawn, vectors, f"doc_id {kind}, lang string, at binary, counts binary").limit(2 * max(max_docs, per * len(n))).collect()
     sample.sort(key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"], bytes(r["at"])))
     return fit_vectors([(r["lang"], np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["counts"], "<f4").astype(np.float64)) for r in sample], idf)
 

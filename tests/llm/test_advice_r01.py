@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from quillspark.llm import packing, queries, simhash, toxicity
+from quillspark.llm import langid, packing, queries, simhash, toxicity
 
 # ---- toxicity
 
@@ -99,3 +99,12 @@ def test_ids_of_added_tokens_are_the_library_s():
 
 def test_media_are_stored_and_read_back(spark, sf_dir):
     assert all("/quillspark/media-" in f for f in queries.op3_matroska(spark, sf_dir).inputFiles())
+
+
+# ---- languages
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]} text", f"l{i:04}") for i in range(1010)] + [(2000, "long words " * 3000, "long")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model.languages) == {r[2] for r in rows}
