@@ -15,6 +15,36 @@ MIN_OVERLAP, INITIAL, PREPARED = 5.0, 0.10, 0.15
 LEVELS = ((1.0, 1.15), (1.0, 1.10), (0.95, 1.10), (0.95, 1.05), (0.9, 1.05), (0.9, 1.0), (0.85, 1.0))
 
 
+#: Spans below this share of the main size are scripts if they are shifted by this share of it; a span's flag for superscripts.
+SCRIPT_SIZE, SCRIPT_SHIFT, SUPERSCRIPT_FLAG = 0.9, 0.12, 1
+
+
+def line_text(spans: Column) -> Column:
+    """The text of a line of spans (text, size, y, flags), in order; small ones off the baseline are tagged. The baseline is that of most
+    characters among the large spans, the first of equals."""
+    chars = lambda s: F.length(F.coalesce(s.text, F.lit("")))
+    size = lambda s: F.coalesce(s["size"], F.lit(0.0))
+
+    def tagged(line: Column, top: Column) -> Column:
+        large = F.transform(F.filter(line, lambda s: size(s) >= top * SCRIPT_SIZE), lambda s: F.struct(F.round(F.coalesce(s.y, F.lit(0.0)), 1).alias("y"), chars(s).alias("n")))
+        heights = F.array_distinct(F.transform(large, lambda s: s.y))
+        weighed = F.transform(heights, lambda y, i: F.struct((-F.aggregate(F.filter(large, lambda s: s.y == y), F.lit(0), lambda n, s: n + s.n)).alias("n"), i.alias("i"), y.alias("y")))
+        base = F.coalesce(F.get(F.array_sort(weighed), F.lit(0)).y, F.lit(0.0))
+
+        def one(s: Column, base: Column) -> Column:
+            small, shift = F.coalesce(s["size"], top) < top * SCRIPT_SIZE, F.coalesce(s.y, base) - base
+            raised = F.coalesce(s.flags, F.lit(0)).bitwiseAND(F.lit(SUPERSCRIPT_FLAG)) != 0
+            tag = F.when(raised | (small & (shift < -top * SCRIPT_SHIFT)), "sup").when(small & (shift > top * SCRIPT_SHIFT), "sub")
+            text = F.coalesce(s.text, F.lit(""))
+            return F.when(tag.isNotNull() & (stripped(text) != ""), F.concat(F.lit("<"), tag, F.lit(">"), text, F.lit("</"), tag, F.lit(">"))).otherwise(text)
+
+        return F.array_join(F.flatten(F.transform(F.array(base), lambda b: F.transform(line, lambda s: one(s, b)))), "")
+
+    main = lambda line: F.coalesce(F.nullif(F.array_max(F.transform(line, size)), F.lit(0.0)), F.lit(10.0))
+    bound = F.transform(F.array(spans), lambda line: F.transform(F.array(main(line)), lambda top: tagged(line, top))[0])[0]
+    return F.when(F.size(spans) > 0, bound).otherwise("")
+
+
 def rect(prefix: str = "") -> dict[str, Column]:
     return {k: F.col(prefix + k) for k in ("x0", "y0", "x1", "y1")}
 

@@ -33,12 +33,16 @@ TRANSLATABLE = ("title", "abstract", "section", "paragraph", "caption", "table_t
 FAILED, ABSORBED = "[翻译失败:", "[MERGED_INTO:"
 VISION_MARKERS = ("vl", "vision", "gpt-4o", "gpt-4.1", "gemini", "claude-3", "claude-4", "qwen2.5-vl")
 TRANSLATION_ONLY = ("qwen-mt-plus", "qwen-mt-turbo", "alibaba-translate")
+# fixed values: words that are no candidates for scripts
 STOP_WORDS = (
-    "in on at an is it of or as be by do go he me no so up us we if to am ok not and but for the can has had was are been from that "
-    "this with will would could should all any its let may nor own per via yet add sub set get put run see use way day new old big top"
-).split()
+    "in", "on", "at", "an", "is", "it", "of", "or", "as", "be", "by", "do", "go", "he", "me", "no", "so", "up", "us",
+    "we", "if", "to", "am", "ok", "not", "and", "but", "for", "the", "can", "has", "had", "was", "are", "been",
+    "from", "that", "this", "with", "will", "would", "could", "should", "all", "any", "its", "let", "may", "nor",
+    "own", "per", "via", "yet", "add", "sub", "set", "get", "put", "run", "see", "use", "way", "day", "new", "old",
+    "big", "top",
+)
 GREEK = "αβγδεζηθικλμνξπρστυφχψωΔΩΣ∏∫"
-#: Rules of candidates for scripts, in their order: name, pattern, confidence.
+# fixed values: rules of candidates for scripts, in their order: name, pattern, confidence
 CANDIDATE_RULES = (
     ("underscore_subscript", r"\b([a-zA-Z]{1,3})_([a-zA-Z0-9]{1,4})\b", 0.95),
     ("single_letter_numeric_sub", r"(?<![a-zA-Z])([a-zA-Z])(\d+)(?![a-zA-Z])", 0.90),

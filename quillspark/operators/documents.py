@@ -63,3 +63,10 @@ def numbered_pages(docs: DataFrame, order: list[Column], size: int = 10) -> Data
     before = parts.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     place = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) + F.col("__before")
     return rows.join(before, F.col("__part") == F.col("__p")).withColumn("place", place).withColumn("page", F.floor((F.col("place") - 1) / size) + 1).drop("__part", "__p", "__before", "__key")
+
+
+def assembled(pages: DataFrame, files: DataFrame) -> DataFrame:
+    """(doc_id, pages, complete): whether each page (doc_id, page, w) has one file (doc_id, page, fw) of its width, and no file is left over. Null ids are a document."""
+    right = files.select(F.col("doc_id").alias("__of"), F.col("page").alias("__at"), "fw")
+    met = pages.join(right, F.col("doc_id").eqNullSafe(F.col("__of")) & (F.col("page") == F.col("__at")), "full")
+    return met.groupBy(F.coalesce("doc_id", "__of").alias("doc_id")).agg(F.count("*").alias("pages"), F.bool_and(F.coalesce(F.col("w") == F.col("fw"), F.lit(False))).alias("complete"))

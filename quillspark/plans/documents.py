@@ -9,6 +9,8 @@ from pyspark.sql import Window
 from quillspark.functions import patterns as P
 from quillspark.functions import text as T
 from quillspark.operators import documents as D
+from quillspark.operators import flow
+from quillspark.operators import quality as Q
 from quillspark.operators import restore as R
 from quillspark.operators import translate as M
 from quillspark.plans import sql as S
@@ -305,39 +307,11 @@ def page_totals(spark, d):
 # ---- quality
 
 
-def qa_rows(spark, d) -> DataFrame:
-    """What each block contributes to its document's summary."""
-    rows = block_table(spark, d)
-    formula = ~F.col("translate") & (F.col("type") == "formula") & (T.stripped(text()) != T.stripped(translated()))
-    blank = F.col("translate") & ((T.stripped(translated()) == "") | F.startswith(translated(), F.lit(P.FAILED)))
-    checked = F.col("translate") & ~blank & ~F.startswith(translated(), F.lit(P.ABSORBED))
-    source, target = T.merge_scripts(text()), T.merge_scripts(translated())
-    kept = rows.select("doc_id", "ord", "source_id", "vision", formula.alias("rewritten"), blank.alias("blank"), F.when(checked, T.missing_tokens(source, target)).alias("lost"), F.when(checked, T.symbol_changes(source, target)).alias("change"), F.when(checked, T.missing_figures(text(), translated())).alias("refs"))
-    cites = lambda t: t.rlike(r"(?i)\[\d+|Fig\.|Table|Eq\.")
-    units = lambda t: ~cites(t) & t.rlike(r"(?i)dB|mW|nm|Gb/s|%|mm")
-    drift = F.coalesce((F.size("change.added") > 0) | (F.size("change.removed") > 0), F.lit(False))
-    lost = F.coalesce("lost", F.array().cast("array<string>"))
-    refs = F.coalesce("refs", F.array().cast("array<string>"))
-    name = F.concat(F.lit(" ["), "source_id", F.lit("]: "))
-    label = lambda t: F.concat(F.when(cites(t), "引用/编号丢失").when(units(t), "单位/数值丢失").otherwise("数值丢失"), name, t)
-    details = F.concat(
-        F.when(F.col("rewritten"), F.array(F.concat(F.lit("公式被改写: "), "source_id"))).otherwise(F.array().cast("array<string>")),
-        F.when(F.col("blank"), F.array(F.concat(F.lit("漏译段落: "), "source_id"))).otherwise(F.array().cast("array<string>")),
-        F.when(drift, F.array(F.concat(F.when(F.col("vision"), "软告警: ").otherwise(""), F.lit("科学符号增删或改写"), name, T.symbol_diff_text(F.col("change.added"), F.col("change.removed"))))).otherwise(F.array().cast("array<string>")),
-        F.transform(lost, label),
-        F.transform(F.array_sort(refs), lambda r: F.concat(F.lit("图表引用丢失"), name, r)),
-    )
-    return kept.select("doc_id", "ord", "blank", (~F.exists(lost, lambda t: ~cites(t) & ~units(t))).alias("numeric"), (~F.exists(lost, units)).alias("unit"), (~F.col("rewritten") & ~(drift & ~F.col("vision"))).alias("formula"), (~F.exists(lost, cites) & (F.size(refs) == 0)).alias("citation"), details.alias("details"))
-
-
 @query("qa_summary")
 def qa_summary(spark, d):
     """Per document: four kinds of fidelity, missing paragraphs, whether all is well, and the first 50 details in order of blocks."""
-    rows = qa_rows(spark, d)
-    got = rows.groupBy("doc_id").agg(F.bool_and("numeric").alias("numeric"), F.bool_and("unit").alias("unit"), F.bool_and("formula").alias("formula"), F.bool_and("citation").alias("citation"), F.count_if("blank").alias("missing"), F.array_sort(F.collect_list(F.when(F.size("details") > 0, F.struct("ord", "details")))).alias("d"))
-    overall = F.col("numeric") & F.col("unit") & F.col("formula") & F.col("citation") & (F.col("missing") == 0)
-    details = F.slice(F.flatten(F.transform("d", lambda x: x.details)), 1, 50)
-    return got.select("doc_id", "numeric", "unit", "formula", "citation", "missing", overall.alias("overall"), F.size(details).cast("long").alias("n_details"))
+    got = Q.summary(Q.block_quality(block_table(spark, d)))
+    return got.withColumn("n_details", F.size("details").cast("long")).withColumn("details", F.array_join("details", "\n"))
 
 
 _MS, _MT = S.merged("text"), S.merged("translated")
@@ -351,7 +325,26 @@ qb AS (SELECT *, translate AND NOT blank AND NOT starts_with(translated, '[MERGE
   len(list_filter(list_distinct(list_concat(sa, sb)), lambda s: {_count('sb')} < {_count('sa')} OR ({_count('sb')} > {_count('sa')} AND NOT contains('{P.EXTRA_SYMBOLS}', s)))) > 0 AS drift FROM qa),
 qc AS (SELECT doc_id, blank, NOT checked OR len(list_filter(lost, lambda t: NOT {_CITES} AND NOT {_UNITS})) = 0 AS num, NOT checked OR len(list_filter(lost, lambda t: NOT {_CITES} AND {_UNITS})) = 0 AS unit, NOT rewritten AND NOT (checked AND drift AND NOT vision) AS form,
   NOT checked OR (len(list_filter(lost, lambda t: {_CITES})) = 0 AND len(refs) = 0) AS cite, CASE WHEN rewritten OR blank THEN 1 WHEN checked THEN CASE WHEN drift THEN 1 ELSE 0 END + len(lost) + len(refs) ELSE 0 END AS nd FROM qb)"""
-ORACLES["qa_summary"] = S.with_blocks("SELECT doc_id, bool_and(num) AS numeric, bool_and(unit) AS unit, bool_and(form) AS formula, bool_and(cite) AS citation, count(*) FILTER (blank) AS missing, bool_and(num) AND bool_and(unit) AND bool_and(form) AND bool_and(cite) AND count(*) FILTER (blank) = 0 AS overall, least(50, sum(nd))::BIGINT AS n_details FROM qc GROUP BY doc_id", _QA_TOKENS, _QA)
+_LABEL = f"CASE WHEN {_CITES} THEN '引用/编号丢失' WHEN {_UNITS} THEN '单位/数值丢失' ELSE '数值丢失' END || ' [' || source_id || ']: ' || t"
+_DETAILS = f"""qd AS (SELECT *, list_concat(
+    CASE WHEN rewritten THEN ['公式被改写: ' || source_id] ELSE [] END, CASE WHEN blank THEN ['漏译段落: ' || source_id] ELSE [] END,
+    CASE WHEN checked AND drift THEN [CASE WHEN vision THEN '软告警: ' ELSE '' END || '科学符号增删或改写 [' || source_id || ']: ' || {S.symbol_diff('sa', 'sb')}] ELSE [] END,
+    CASE WHEN checked THEN list_transform(lost, lambda t: {_LABEL}) ELSE [] END,
+    CASE WHEN checked THEN list_transform(list_sort(refs), lambda r: '图表引用丢失 [' || source_id || ']: ' || r) ELSE [] END) AS details FROM qb),
+qe AS (SELECT doc_id, coalesce(array_to_string(list_slice(flatten(list(details ORDER BY ord)), 1, 50), chr(10)), '') AS details FROM qd GROUP BY doc_id),
+qs AS (SELECT doc_id, bool_and(num) AS numeric, bool_and(unit) AS unit, bool_and(form) AS formula, bool_and(cite) AS citation, count(*) FILTER (blank) AS missing, bool_and(num) AND bool_and(unit) AND bool_and(form) AND bool_and(cite) AND count(*) FILTER (blank) = 0 AS overall, least(50, sum(nd))::BIGINT AS n_details FROM qc GROUP BY doc_id)"""
+ORACLES["qa_summary"] = S.with_blocks("SELECT qs.*, details FROM qs JOIN qe ON qs.doc_id IS NOT DISTINCT FROM qe.doc_id", _QA_TOKENS, _QA, _DETAILS)
+
+
+# ---- the flow of pages
+
+
+@query("page_flow", S.with_blocks(f"SELECT doc_id, page, count(*) AS blocks, count(*) FILTER (translate AND contains(text, 'about')) AS fallbacks, 0::BIGINT AS failures, md5(string_agg(CASE WHEN translate THEN '译:' || {S.merged('text')} ELSE text END, chr(10) ORDER BY ord)) AS digest FROM (SELECT * REPLACE (translate AND trim(text) <> '' AS translate) FROM b) z GROUP BY doc_id, page"))
+def page_flow(spark, d):
+    """Layout blocks to published pages: the first model fails on lines with a certain word, its fallback doesn't."""
+    rows = block_table(spark, d).select("doc_id", "page", "ord", "source_id", "type", "translate", "vision", "text")
+    done = flow.translated(rows, M.StubTranslator(fails_on="about"), M.StubTranslator(), retries=1)
+    return flow.published(done).select("doc_id", "page", "blocks", "fallbacks", "failures", "digest")
 
 
 # ---- reports and runs
@@ -389,14 +382,13 @@ def page_publish(spark, d):
     return block_table(spark, d).groupBy("doc_id", "page").agg(F.count("*").alias("blocks"), F.md5(lines.cast("binary")).alias("digest"))
 
 
-@query("assemble_gate", S.with_blocks("SELECT doc_id, count(*) AS pages, bool_and(coalesce(s.page, 0) = coalesce(f.page, 0) AND s.w = f.w) IS TRUE AS complete FROM (SELECT DISTINCT doc_id, page, 612 AS w FROM b) s FULL JOIN (SELECT DISTINCT doc_id, page, CASE WHEN (coalesce(doc_id, 0) + page) % 11 = 0 THEN 595 ELSE 612 END AS w FROM b WHERE (coalesce(doc_id, 0) * 5 + page) % 13 <> 0) f USING (doc_id, page) GROUP BY doc_id").replace("coalesce(s.page, 0) = coalesce(f.page, 0) AND s.w = f.w", "coalesce(s.w = f.w, false)"))
+@query("assemble_gate", S.with_blocks("SELECT coalesce(s.doc_id, f.doc_id) AS doc_id, count(*) AS pages, bool_and(coalesce(s.w = f.w, false)) AS complete FROM (SELECT DISTINCT doc_id, page, 612 AS w FROM b) s FULL JOIN (SELECT DISTINCT doc_id, page, CASE WHEN (coalesce(doc_id, 0) + page) % 11 = 0 THEN 595 ELSE 612 END AS w FROM b WHERE (coalesce(doc_id, 0) * 5 + page) % 13 <> 0) f ON s.doc_id IS NOT DISTINCT FROM f.doc_id AND s.page = f.page GROUP BY ALL"))
 def assemble_gate(spark, d):
     """Whether every page has a file of the page's width: some files are missing or of another width, by rule."""
     pages = block_table(spark, d).select("doc_id", "page").distinct()
     key = F.coalesce("doc_id", F.lit(0))
     files = pages.where((key * 5 + F.col("page")) % 13 != 0).select("doc_id", "page", F.when((key + F.col("page")) % 11 == 0, 595).otherwise(612).alias("fw"))
-    met = pages.withColumn("w", F.lit(612)).join(files, ["doc_id", "page"], "full")
-    return met.groupBy("doc_id").agg(F.count("*").alias("pages"), F.bool_and(F.coalesce(F.col("w") == F.col("fw"), F.lit(False))).alias("complete"))
+    return D.assembled(pages.withColumn("w", F.lit(612)), files)
 
 
 #: Events of users as a document's: what each kind of event makes of its status.

@@ -16,18 +16,11 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-#: Bytes of a table between which its rows are dealt out to all cores: a small file is one task's, and a large one is split anyway.
-SPREAD = (1 << 20, 1 << 28)
-
-
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """rows in as many partitions as there are cores, if they are few enough that a shuffle costs next to nothing."""
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key) if SPREAD[0] <= size < SPREAD[1] else rows
-
-
 def block_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id"))
+    """Blocks of the documents. A table that is read in fewer parts than there are cores is dealt out to all of them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    return blocks(docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs)
 
 
 def over_blocks(name: str, columns: Callable[[], dict[str, Column]], oracle: dict[str, str] | None, more: str = "") -> None:

@@ -106,10 +106,10 @@ def avg_font_size(spark, d):
     return span_table(spark, d).groupBy("doc_id", "ord").agg(F.round(F.avg("size"), 6).alias("size"))
 
 
-@query("style_flags", "SELECT sp.doc_id, sp.ord, sum(CASE WHEN contains(lower(font), 'bold') THEN length(words) ELSE 0 END) > any_value(length(block_text)) * 0.5 AS bold, any_value(type IN ('title', 'section') OR x1 - x0 > 612.0 * 0.7) AS centered FROM sp JOIN b ON sp.doc_id = b.doc_id AND sp.ord = b.ord GROUP BY sp.doc_id, sp.ord", SPANS_SQL)
+@query("style_flags", "SELECT sp.doc_id, sp.ord, sum(CASE WHEN contains(lower(font), 'bold') THEN length(words) ELSE 0 END) > any_value(length(block_text)) * 0.5 AS bold, any_value(type IN ('title', 'section') OR x1 - x0 > 612.0 * 0.7) AS centered FROM sp JOIN b ON sp.doc_id IS NOT DISTINCT FROM b.doc_id AND sp.ord = b.ord GROUP BY sp.doc_id, sp.ord", SPANS_SQL)
 def style_flags(spark, d):
-    spans = span_table(spark, d).groupBy("doc_id", "ord").agg(F.sum(F.when(F.contains(F.lower("font"), F.lit("bold")), F.length("words")).otherwise(0)).alias("bold"))
-    rows = block_table(spark, d).join(spans, ["doc_id", "ord"])
+    spans = span_table(spark, d).groupBy(F.col("doc_id").alias("of"), F.col("ord").alias("at")).agg(F.sum(F.when(F.contains(F.lower("font"), F.lit("bold")), F.length("words")).otherwise(0)).alias("bold"))
+    rows = block_table(spark, d).join(spans, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("ord") == F.col("at")))
     return rows.select("doc_id", "ord", (F.col("bold") > F.length(text()) * 0.5).alias("bold"), (F.col("type").isin("title", "section") | (own()["x1"] - own()["x0"] > L.PAGE_WIDTH * 0.7)).alias("centered"))
 
 
@@ -138,14 +138,11 @@ def baseline_mode(spark, d):
 _TAG = "CASE WHEN raised OR (size < top * 0.9 AND y - baseline < -top * 0.12) THEN '<sup>' || words || '</sup>' WHEN size < top * 0.9 AND y - baseline > top * 0.12 THEN '<sub>' || words || '</sub>' ELSE words END"
 
 
-@query("line_text", f"SELECT mx.doc_id, mx.ord, string_agg({_TAG}, '' ORDER BY i) AS line FROM mx JOIN base ON mx.doc_id = base.doc_id AND mx.ord = base.ord GROUP BY mx.doc_id, mx.ord", SPANS_SQL, _MAIN)
+@query("line_text", f"SELECT mx.doc_id, mx.ord, string_agg({_TAG}, '' ORDER BY i) AS line FROM mx JOIN base ON mx.doc_id IS NOT DISTINCT FROM base.doc_id AND mx.ord = base.ord GROUP BY mx.doc_id, mx.ord", SPANS_SQL, _MAIN)
 def line_text(spark, d):
-    spans = span_table(spark, d)
-    rows = spans.withColumn("top", F.max("size").over(Window.partitionBy("doc_id", "ord"))).join(baselines(spans), ["doc_id", "ord"])
-    small, shift = F.col("size") < F.col("top") * 0.9, F.col("y") - F.col("baseline")
-    tag = F.when(F.col("raised") | (small & (shift < -F.col("top") * 0.12)), "sup").when(small & (shift > F.col("top") * 0.12), "sub")
-    tagged = F.when(tag.isNotNull() & (F.trim("words") != ""), F.concat(F.lit("<"), tag, F.lit(">"), "words", F.lit("</"), tag, F.lit(">"))).otherwise(F.col("words"))
-    return rows.groupBy("doc_id", "ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", tagged.alias("t")))), lambda x: x.t), "").alias("line"))
+    span = F.struct("i", F.col("words").alias("text"), F.col("size").cast("double").alias("size"), F.col("font"), F.col("raised").cast("int").alias("flags"), F.col("y").cast("double").alias("y"))
+    lines = span_table(spark, d).groupBy("doc_id", "ord").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    return lines.select("doc_id", "ord", L.line_text(F.col("spans")).alias("line"))
 
 
 @query(

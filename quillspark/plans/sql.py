@@ -126,3 +126,13 @@ def missing_tokens(source: str, target: str) -> str:
     """Over columns; the token lists src and tgt have to be in scope as lists of the row."""
     lost = f"list_filter(src, lambda t: NOT list_contains(src_figs, t) AND NOT list_contains(tgt, t) AND NOT list_contains(list_transform(tgt, lambda z: lower(z)), lower(t)) AND NOT contains({squeezed(target)}, {squeezed('t')}))"
     return f"list_concat({lost}, {missing_figures(source, target)})"
+
+
+def symbol_diff(a: str, b: str) -> str:
+    """What lists of symbols a and b differ in, in words."""
+    n = lambda xs: f"len(list_filter({xs}, lambda z: z = s))"
+    every = f"list_sort(list_distinct(list_concat({a}, {b})))"
+    more = f"list_filter({every}, lambda s: {n(b)} > {n(a)} AND NOT contains('{P.EXTRA_SYMBOLS}', s))"
+    less = f"list_filter({every}, lambda s: {n(b)} < {n(a)})"
+    named = lambda xs, x, y: f"array_to_string(list_transform({xs}, lambda s: CASE WHEN {n(x)} - {n(y)} > 1 THEN s || '×' || ({n(x)} - {n(y)}) ELSE s END), '、')"
+    return f"concat_ws('；', CASE WHEN len({less}) > 0 THEN '缺失 ' || {named(less, a, b)} END, CASE WHEN len({more}) > 0 THEN '多余 ' || {named(more, b, a)} END)"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,8 +14,13 @@ from quillspark.streaming import pages
 
 
 def shared(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that driver and executors share."""
-    return f"{spark.conf.get('spark.checkpoint.dir', '') or 'file://' + tempfile.gettempdir()}/quillspark/{name}-{uuid.uuid4().hex}"
+    """A new folder in the one that driver and executors share; without one, on one machine, a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
+    return f"{found}/quillspark/{name}-{uuid.uuid4().hex}"
 
 
 def stream_pages(spark: SparkSession, d: str) -> DataFrame:

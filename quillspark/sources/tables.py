@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,10 +46,27 @@ def read_layout(spark: SparkSession, path: str, doc_id: int | None = None) -> Da
 
 
 def read_glossary(spark: SparkSession, *paths: str) -> DataFrame:
-    """Entries of JSON files (flat, latex, desc, type), the later file's over the earlier's; type is subscript where it is missing."""
-    out = None
-    for k, path in enumerate(paths):
-        rows = spark.read.schema("flat string, latex string, desc string, type string").json(path)
-        rows = rows.withColumn("seq", (F.monotonically_increasing_id() + F.lit(k) * (1 << 40)).cast("long")).withColumn("type", F.coalesce("type", F.lit("subscript")))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """Entries (flat, latex, desc, type) of files, the later file's over the earlier's; type is subscript where it is missing. A file is JSON, an
+    object a line, or the YAML of a glossary: a list of such entries, under ``entries`` or by itself (needs a YAML library). An entry's place is
+    its place in the file, so files are read whole; they are small by nature. A file that isn't there has no entries."""
+    out = []
+    for path in paths:
+        try:
+            found = spark.read.option("wholetext", "true").text(path).collect()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        for r in found:
+            out += _entries(r["value"], path)
+    rows = [(i, e["flat"], e.get("latex"), e.get("desc"), e.get("type") or "subscript") for i, e in enumerate(out) if e.get("flat")]
+    return spark.createDataFrame(rows, GLOSSARY)
+
+
+def _entries(text: str, path: str) -> list[dict]:
+    if path.rstrip("/").endswith((".yaml", ".yml")):
+        import yaml
+
+        found = yaml.safe_load(text) or []
+        return list(found.get("entries", []) if isinstance(found, dict) else found)
+    return [json.loads(line) for line in text.splitlines() if line.strip()]

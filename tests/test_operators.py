@@ -1,5 +1,7 @@
 """Small cases of operators over pages, runs and the model boundary."""
 
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,17 +140,176 @@ def test_workspace(spark, dumped, tmp_path):
     from quillspark.workspace import Workspace
 
     w = Workspace(spark, f"file://{tmp_path}/ws")
-    w.add_pages(dumped, spark.createDataFrame([(1, "paper.PDF", 1000), (2, "notes.txt", 10)], "doc_id long, filename string, bytes long"))
+    names = spark.createDataFrame([(1, "paper.PDF", 1000), (2, "notes.txt", 10)], "doc_id long, filename string, bytes long")
+    for _ in range(2):  # a document that is added again is there once
+        w.add_pages(dumped, names)
     assert [(r["doc_id"], r["status"], r["page_count"]) for r in w.list_documents().collect()] == [(1, "uploaded", 1)]
     w.translate(M.StubTranslator())
-    assert w.get_document(1).first()["status"] == "completed"
-    w.retranslate_block(1, "b_1_2", "by hand")
+    assert w.get_document(1).first()["status"] == "completed" and w.get_document(1).first()["output_ready"]
+    before = w.check(1).first()
+    assert before["overall"] and before["details"] == []
+    after = w.retranslate_block(1, "b_1_2", "by hand").first()
+    assert not after["overall"] and any("[b_1_2]" in x for x in after["details"])
+    w.translate(M.StubTranslator("new:"), ids=spark.createDataFrame([(1,)], "doc_id long"))  # what was written by hand stays
+    got = {r["source_id"]: r["translated"] for r in w.get_result(1).collect()}
+    assert got["b_1_2"] == "by hand" and got["b_1_1"].startswith("new:")
     w.rebuild_layout(dumped)
     text, cited = w.chat_context(1)
     assert "→ by hand" in text and len(cited) == 5
-    assert w.get_layout(1).count() == w.get_result(1).count() == 8
+    assert w.get_layout(1).count() == w.get_result(1).count() == 8 and w.published().first()["blocks"] == 8
     w.delete_documents(spark.createDataFrame([(1,)], "doc_id long"))
-    assert w.list_documents().count() == 0 and w.get_result(1).count() == 0
+    assert w.list_documents().count() == 0
+    with pytest.raises(LookupError):
+        w.get_result(1)
+
+
+def test_a_step_that_fails_leaves_the_table(spark, tmp_path):
+    from quillspark.workspace import Workspace
+
+    w = Workspace(spark, f"file://{tmp_path}/ws")
+    rows = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("a").alias("x"))
+    w._put("index", rows, rows)
+    bad = rows.withColumn("x", F.when(F.col("doc_id") == 150, F.raise_error(F.lit("lost"))).otherwise("b"))
+    with pytest.raises(Exception, match="lost"):
+        w._put("index", rows, bad)
+    assert {r["x"] for r in w._read("index").collect()} == {"a"} and w._read("index").count() == 200
+    w._put("index", rows.where("doc_id = 3"), rows.where("doc_id = 3").withColumn("x", F.lit("c")))
+    assert sorted(r["doc_id"] for r in w._read("index").where("x = 'c'").collect()) == [3] and w._read("index").count() == 200
+
+
+def test_configuration(spark, tmp_path):
+    from quillspark.workspace import Workspace
+
+    w = Workspace(spark, f"file://{tmp_path}/ws")
+    assert w.load_config({"model": "m"}) == {"model": "m"}
+    w.save_config({"api_key": "abcd1234efgh"})
+    w.save_config({"api_key": "abcd1234wxyz", "model": "n"})
+    assert w.load_config({"model": "m", "base_url": "u"}) == {"model": "n", "base_url": "u", "api_key": "abcd1234wxyz"}
+    assert w.shown_config()["api_key"] == "abcd****wxyz"
+
+
+def test_glossaries_of_files(spark, tmp_path):
+    from quillspark.operators import restore as R
+    from quillspark.sources import tables
+
+    (tmp_path / "a.json").write_text('{"flat": "VDD", "latex": "V_1"}\n{"flat": "gm", "latex": "g_m"}\n')
+    (tmp_path / "b.json").write_text('{"flat": "VDD", "latex": "V_2", "type": "superscript"}\n')
+    rows = tables.read_glossary(spark, *(f"file://{tmp_path}/{n}.json" for n in ("a", "missing", "b")))
+    got = {r["flat"]: (r["latex"], r["type"], r["place"]) for r in R.effective_glossary(rows).collect()}
+    assert got == {"VDD": ("V_2", "superscript", 0), "gm": ("g_m", "subscript", 1)}
+
+
+# ---- models
+
+
+class Counting:
+    """A model that fails in ways of its own, and writes down each text that reaches it."""
+
+    def __init__(self, at, fails=()):
+        self.at, self.fails = at, dict(fails)
+
+    def translate(self, texts):
+        with open(f"{self.at}/{uuid.uuid4().hex}", "w") as f:
+            f.write("\n".join(texts))
+        for t in texts:
+            for word, error in self.fails.items():
+                if word in t:
+                    raise error
+        return [f"译:{t}" for t in texts]
+
+
+def test_every_failure_is_a_row_and_each_text_is_asked_once_an_attempt(spark, tmp_path):
+    """A text that succeeds reaches the model once by itself; one that always fails once for each attempt."""
+    rows = spark.createDataFrame([(1, "fine words"), (2, "slow words"), (3, "lost words")], "id int, text string").repartition(3, "id")
+    model = Counting(str(tmp_path), {"slow": TimeoutError("too slow"), "lost": ConnectionError()})
+    done = M.staged_translation(rows, model, retries=2, folder=f"file://{tmp_path}/stored")
+    for _ in range(3):  # reading again asks nothing again
+        got = {r["id"]: (r["translated"], r["error"], r["attempt"]) for r in done.collect()}
+    assert got == {1: ("译:fine words", None, 1), 2: ("[翻译失败: too slow]", "too slow", 3), 3: ("[翻译失败: ConnectionError]", "ConnectionError", 3)}
+    asked = " ".join(p.read_text() for p in tmp_path.iterdir() if p.is_file())
+    assert asked.count("fine") <= 2 and asked.count("slow") <= 6 and asked.count("lost") <= 6
+
+
+def test_last_of_several_new_rows_wins(spark):
+    now = spark.createDataFrame([(1, "a", "old"), (None, "b", "old"), (2, "c", "old")], "doc_id int, source_id string, translated string")
+    new = spark.createDataFrame([(1, "a", "x", 2), (1, "a", "z", 1), (None, "b", "y", 1)], "doc_id int, source_id string, translated string, seq int")
+    got = M.upsert(now, new, ["doc_id", "source_id"], ["translated"], F.lit(True), ["seq"]).collect()
+    assert sorted((r["source_id"], r["translated"]) for r in got) == [("a", "x"), ("b", "y"), ("c", "old")]
+
+
+class Says:
+    def __init__(self, text, reason="stop"):
+        self.reply, self.seen = M.Reply(text, reason), []
+
+    def complete(self, messages, temperature, max_tokens):
+        self.seen.append((messages, temperature))
+        return self.reply
+
+
+@pytest.mark.parametrize("reply, ok, seen", [(("  yes ", "stop"), True, True), (("cut", "length"), False, False), (("", "stop"), False, False), ((None, "stop"), False, False), (("yes", None), False, True), (("yes", "end_turn"), False, True)])
+def test_connectors(reply, ok, seen):
+    """A text model must say that it ended; a vision model must only not have been cut off. Neither may say nothing."""
+    for call, want in ((lambda m: M.chat(m, "m", "p", "s"), ok), (lambda m: M.chat_with_images(m, "m", "p", ["data:image/png;base64,AA=="], "s"), seen)):
+        model = Says(*reply)
+        if want:
+            assert call(model) == "yes" and model.seen[0][1] == 0
+        else:
+            with pytest.raises(ValueError):
+                call(model)
+    assert M.connection_test(Says(*reply), "m")["ok"] is ok
+
+
+def test_messages_of_connectors():
+    model = Says("x")
+    with pytest.raises(ValueError):
+        M.chat_with_images(model, "m", "p", [])
+    M.chat(model, "qwen-mt-plus", "p", "s")
+    M.chat_with_images(model, "m", "p", ["u"], "s")
+    assert model.seen[0][0] == [{"role": "user", "content": "s\n\np"}]
+    assert [x["type"] for x in model.seen[1][0][1]["content"]] == ["text", "image_url"]
+
+
+def test_the_flow_takes_fallback_then_repair(spark, tmp_path):
+    from quillspark.operators import flow
+
+    rows = spark.createDataFrame([(1, 1, i, f"s{i}", "paragraph", True, False, t) for i, t in enumerate(["plain text", "first fails", "both fail", "α stays", "  "])], "doc_id long, page long, ord long, source_id string, type string, translate boolean, vision boolean, text string")
+    first = Counting(str(tmp_path), {"fail": ValueError("no"), "α": ValueError("no")})
+    done = flow.translated(rows, first, M.StubTranslator(fails_on="both"), M.StubTranslator("修复:"), retries=1, folder=f"file://{tmp_path}/stored")
+    got = {r["ord"]: (r["stage"], r["translated"]) for r in done.collect()}
+    assert got[0] == ("model", "译:plain text") and got[1] == ("fallback", "译:first fails") and got[2] == ("repair", "修复:both fail") and got[4] == ("none", "  ")
+    page = flow.published(done).first()
+    assert (page["blocks"], page["fallbacks"], page["repairs"], page["failures"]) == (5, 1 + (got[3][0] == "fallback"), 1, 0)
+    assert flow.checked(done).first()["missing"] == 1  # the blank one
+
+
+def test_font_control_maps(spark):
+    """Codes that the font maps to themselves and whose glyph is known; in text they become what they stand for."""
+    from quillspark.operators import parse as PA
+
+    fonts = [(1, 1, "AB+Math", [(1, "Delta1"), (2, "alpha"), (3, "nosuchglyph"), (4, "uni2264"), (65, "Omega1"), (5, "beta")], [(1, "\x01"), (2, "\x02"), (3, "\x03"), (4, "\x04"), (65, "A"), (5, "x")])]
+    controls = PA.font_controls(spark.createDataFrame(fonts, PA.FONTS))
+    assert {(r["font"], r["code"], r["char"]) for r in controls.collect()} == {("Math", 1, "Δ"), ("Math", 2, "α"), ("Math", 4, "≤")}
+    blocks = [text_block([span("x \x01\x04\x03", font="CD+Math"), span(" \x01", font="Other")], [50.0, 300.0, 300.0, 312.0])]
+    pages_ = spark.createDataFrame([(1, 1, 612.0, 792.0, blocks, [], []), (2, 1, 612.0, 792.0, blocks, [], [])], PA.PAGES)
+    got = {r["doc_id"]: r["text"] for r in PA.raw_blocks(pages_, controls).collect()}
+    assert got == {1: "x Δ≤\x03 \x01", 2: "x \x01\x04\x03 \x01"}
+
+
+def test_lines_of_odd_spans(spark):
+    from quillspark.functions import layout as L
+
+    lines = [[], [span("a", None, None), span(None, 10.0, 5.0)], [span("x", 0.0, 0.0)], [span("V", 10.0, 100.0), span("2", 6.0, 97.0), span(" ", 6.0, 103.0), span("n", 6.0, 103.0), span("!", 10.0, 90.0, flags=1)]]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, spans array<struct<text: string, size: double, font: string, flags: int, y: double>>")
+    got = {r["i"]: r["t"] for r in rows.select("i", L.line_text(F.col("spans")).alias("t")).collect()}
+    assert got == {0: "", 1: "a", 2: "x", 3: "V<sup>2</sup> <sub>n</sub><sup>!</sup>"}
+
+
+def test_extractors_are_sql_functions(spark):
+    from quillspark.functions.register import register
+
+    assert len(register(spark)) == 9
+    r = spark.sql("SELECT quill_quantities(t) AS q, quill_citations(t) AS c, quill_numbers(t) AS n, quill_dates(t) AS d, quill_symbols(t) AS s FROM VALUES ('gain of 5 dB in [3], -7.5 on May 3, 2020 and α') v(t)").first()
+    assert (r["q"], r["c"], r["d"], r["s"]) == (["5 dB"], ["[3]"], ["May 3, 2020"], ["α"]) and "-7.5" in r["n"]
 
 
 def test_tables_round_trip(spark, dumped, tmp_path):
