@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import layout as L
 from quillspark.functions import patterns as P
 from quillspark.functions import text as T
-from quillspark.operators import pages
+from quillspark.operators import artwork, pages
 from quillspark.plans import sql as S
 from quillspark.plans.fidelity import block_table
 
@@ -457,6 +457,31 @@ def art_regions(spark, d):
     return pages.per_page(rows, ["x0", "y0", "x1", "y1"], pages.art_regions, "region long, x0 double, y0 double, x1 double, y1 double, parts long")
 
 
+_DRAWN = "CASE WHEN ord % 5 = 0 THEN 'clip' WHEN ord % 5 = 4 THEN 's' ELSE 'fs' END"
+_ART = f"""dr AS (SELECT doc_id, page, ord, {_DRAWN} AS type, ord % 3 AS level, x0, y0, x1, y1, CASE WHEN ord % 5 = 0 THEN x1 - 40.0 ELSE x1 END AS right_edge, CASE ord % 4 WHEN 0 THEN 0.0 ELSE 0.5 END AS fill, CASE ord % 7 WHEN 0 THEN 0.0 ELSE 1.0 END AS stroke, ord % 6 AS line FROM b),
+cl AS (SELECT a.*, (SELECT min(z.ord) FROM dr z WHERE z.doc_id IS NOT DISTINCT FROM a.doc_id AND z.page = a.page AND z.ord > a.ord AND z.level <= a.level) AS ends FROM dr a WHERE type = 'clip'),
+mk AS (SELECT *, CASE WHEN stroke > 0 THEN greatest(0.1, line / 2.0) ELSE 0.0 END AS m FROM dr WHERE type <> 'clip' AND (fill > 0 OR stroke > 0)),
+vs AS (SELECT mk.doc_id, mk.page, mk.ord, greatest(any_value(mk.x0 - m), 0.0, coalesce(max(cl.x0), 0.0)) AS x0, greatest(any_value(mk.y0 - m), 0.0, coalesce(max(cl.y0), 0.0)) AS y0, least(any_value(mk.x1 + m), 612.0, coalesce(min(cl.right_edge), 612.0)) AS x1, least(any_value(mk.y1 + m), 792.0, coalesce(min(cl.y1 + 300.0), 792.0)) AS y1
+  FROM mk LEFT JOIN cl ON cl.doc_id IS NOT DISTINCT FROM mk.doc_id AND cl.page = mk.page AND cl.ord < mk.ord AND (cl.ends IS NULL OR mk.ord < cl.ends) GROUP BY mk.doc_id, mk.page, mk.ord)"""
+
+
+@query("visible_art", "SELECT doc_id, page, ord, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM vs WHERE x1 > x0 AND y1 > y0", _ART)
+def visible_art(spark, d):
+    """Blocks as drawings: every fifth a clip that reaches further down, levels, opacities and strokes by rule."""
+    drawn = F.col("ord") % 5
+    box = F.array("x0", "y0", "x1", "y1")
+    scissor = F.array("x0", "y0", F.col("x1") - 40.0, F.col("y1") + 300.0)
+    one = F.struct(
+        "ord", F.when(drawn == 0, "clip").when(drawn == 4, "s").otherwise("fs").alias("type"), (F.col("ord") % 3).cast("int").alias("level"), box.cast("array<double>").alias("rect"), scissor.cast("array<double>").alias("scissor"),
+        F.when(F.col("ord") % 7 == 0, 0.0).otherwise(1.0).alias("stroke_opacity"), F.when(F.col("ord") % 4 == 0, 0.0).otherwise(0.5).alias("fill_opacity"), (F.col("ord") % 6).cast("double").alias("line"),
+    )
+    rows = block_table(spark, d).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(one)).alias("drawings"))
+    seen = artwork.visible_rects(rows.select("doc_id", "page", F.lit(L.PAGE_WIDTH).alias("width"), F.lit(L.PAGE_HEIGHT).alias("height"), F.transform("drawings", lambda x: x.dropFields("ord")).alias("drawings")))
+    starts = rows.select(F.col("doc_id").alias("of"), F.col("page").alias("at"), F.transform("drawings", lambda x: x["ord"]).alias("ords"))
+    met = seen.join(starts, seen.doc_id.eqNullSafe(starts.of) & (seen.page == starts["at"]))
+    return met.select("doc_id", "page", F.get("ords", F.col("ord").cast("int")).alias("ord"), "x0", "y0", "x1", "y1")
+
+
 @query("lock_shrink")
 def lock_shrink(spark, d):
     def run(found):

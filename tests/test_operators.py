@@ -48,6 +48,21 @@ def test_touching_art_becomes_one_region():
     assert [(g["x0"], g["x1"], g["parts"]) for g in got] == [(0.0, 60.0, 2)]
 
 
+def test_clips_hold_until_something_ends_them(spark):
+    from quillspark.operators import artwork
+
+    def drawing(kind, level, box, stroke=0.0, fill=1.0, line=0.0):
+        return (kind, level, None if kind == "clip" else box, box if kind == "clip" else None, stroke, fill, line)
+
+    page = [
+        drawing("clip", 0, [0.0, 0.0, 100.0, 100.0]), drawing("f", 1, [50.0, 50.0, 200.0, 200.0]), drawing("clip", 1, [60.0, 0.0, 300.0, 300.0]), drawing("s", 2, [0.0, 0.0, 70.0, 70.0], 1.0, None, 4.0),
+        drawing("f", 1, [0.0, 0.0, 90.0, 90.0]), drawing("f", 0, [0.0, 0.0, 700.0, 90.0]), drawing("fs", None, [10.0, 10.0, 20.0, 20.0], 0.0, 0.0), drawing("s", 0, [10.0, 10.0, 20.0, 10.0], 0.5, 0.0, None), drawing("f", 0, [5.0, 5.0, 5.0, 50.0]),
+    ]
+    got = {r["ord"]: (r["x0"], r["y0"], r["x1"], r["y1"]) for r in artwork.visible_rects(spark.createDataFrame([(1, 1, 612.0, 792.0, page)], artwork.DRAWINGS)).collect()}
+    assert got == {1: (50.0, 50.0, 100.0, 100.0), 3: (60.0, 0.0, 72.0, 72.0), 4: (0.0, 0.0, 90.0, 90.0), 5: (0.0, 0.0, 612.0, 90.0), 7: (9.9, 9.9, 20.1, 10.1)}
+    assert artwork.regions(spark.createDataFrame([(1, 1, 612.0, 792.0, page), (2, 1, 612.0, 792.0, [])], artwork.DRAWINGS)).count() == 1
+
+
 def test_model_failures_become_rows(spark):
     rows = spark.createDataFrame([(1, "5 dB loss"), (2, "bad words"), (3, None)], "id int, text string")
     got = {r["id"]: r["translated"] for r in M.map_model(rows, M.StubTranslator(fails_on="bad")).collect()}
