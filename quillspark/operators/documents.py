@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from quillspark.functions import patterns as P
+from quillspark.functions import text as T
 
 MAX_UPLOAD = 100 * 1024 * 1024
 #: Statuses, and those in which a document is being worked on.
@@ -70,3 +71,36 @@ def assembled(pages: DataFrame, files: DataFrame) -> DataFrame:
     right = files.select(F.col("doc_id").alias("__of"), F.col("page").alias("__at"), "fw")
     met = pages.join(right, F.col("doc_id").eqNullSafe(F.col("__of")) & (F.col("page") == F.col("__at")), "full")
     return met.groupBy(F.coalesce("doc_id", "__of").alias("doc_id")).agg(F.count("*").alias("pages"), F.bool_and(F.coalesce(F.col("w") == F.col("fw"), F.lit(False))).alias("complete"))
+
+
+def page_reports(blocks: DataFrame) -> DataFrame:
+    """(doc_id, page, t, p, a, r): translated, protected, absorbed and retained blocks of each page."""
+    said = F.col("translated")
+    failed = F.col("translate") & ((said == "") | F.startswith(said, F.lit(P.FAILED)))
+    absorbed = F.startswith(said, F.lit(P.ABSORBED))
+    return blocks.groupBy("doc_id", "page").agg(F.count_if(F.col("translate") & ~failed & ~absorbed).alias("t"), F.count_if(~F.col("translate")).alias("p"), F.count_if(absorbed).alias("a"), F.count_if(failed).alias("r"))
+
+
+def document_reports(pages: DataFrame) -> DataFrame:
+    """Reports of pages (page_reports()) as those of documents."""
+    return pages.groupBy("doc_id").agg(F.sum("t").alias("translated_blocks"), F.sum("p").alias("protected"), F.sum("a").alias("absorbed"), F.sum("r").alias("retained"), F.when(F.sum("r") > 0, "needs_review").otherwise("passed").alias("status"), F.count("*").alias("pages"))
+
+
+def with_last(blocks: DataFrame, translations: DataFrame) -> DataFrame:
+    """blocks with last, the translation (doc_id, source_id, seq, t) of the greatest seq, or null."""
+    last = translations.groupBy(F.col("doc_id").alias("__doc"), F.col("source_id").alias("__id")).agg(F.max_by("t", "seq").alias("last"))
+    return blocks.join(last, blocks.doc_id.eqNullSafe(F.col("__doc")) & (blocks.source_id == F.col("__id")), "left").drop("__doc", "__id")
+
+
+def page_context(blocks: DataFrame, chars: int = 320) -> DataFrame:
+    """(doc_id, page, before, after): the last text of the page before and the first of the page after, cut short."""
+    ends = blocks.groupBy("doc_id", "page").agg(F.max_by("text", "ord").alias("last"), F.min_by("text", "ord").alias("first"))
+    w = Window.partitionBy("doc_id").orderBy("page")
+    return ends.select("doc_id", "page", F.lag(T.clip(F.col("last"), chars)).over(w).alias("before"), F.lead(T.clip(F.col("first"), chars)).over(w).alias("after"))
+
+
+def progress(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, middle, done): the progress of a document in percent while a page (doc_id, page) is worked on, and after it."""
+    p = F.row_number().over(Window.partitionBy("doc_id").orderBy("page"))
+    n = F.count("*").over(Window.partitionBy("doc_id"))
+    return pages.select("doc_id", "page", F.round(5 + 90 * ((p - 1) + 0.8) / n, 6).alias("middle"), F.round(5 + 90 * p / n, 6).alias("done"))

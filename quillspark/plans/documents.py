@@ -238,8 +238,7 @@ def layout_translation_join(spark, d):
     """Blocks with their last translation: two thirds have one, even ones two."""
     rows = block_table(spark, d)
     built = rows.where("ord % 3 <> 0").select("doc_id", "source_id", F.posexplode(F.when(F.col("ord") % 2 == 0, F.array(translated(), F.concat(translated(), F.lit(" (2)")))).otherwise(F.array(translated()))).alias("seq", "t"))
-    last = built.groupBy("doc_id", "source_id").agg(F.max_by("t", "seq").alias("last"))
-    return rows.alias("a").join(last.alias("l"), F.col("a.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("a.source_id") == F.col("l.source_id")), "left").select("a.doc_id", "ord", "last")
+    return D.with_last(rows, built).select("doc_id", "ord", "last")
 
 
 @query("fallback_merge", S.with_blocks("SELECT doc_id, ord, CASE WHEN starts_with(translated, '[翻译失败:') AND ord % 4 = 0 THEN '译:' || text ELSE translated END AS translated FROM b"))
@@ -273,9 +272,7 @@ def retranslate_block(spark, d):
 @query("page_context", S.with_blocks("SELECT doc_id, page, lag(last_text) OVER w AS before, lead(first_text) OVER w AS after FROM (SELECT doc_id, page, arg_max(c, ord) AS last_text, arg_min(c, ord) AS first_text FROM (SELECT doc_id, page, ord, CASE WHEN length(sq) > 320 THEN substr(sq, 1, 319) || '…' ELSE sq END AS c FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS sq FROM b) z) y GROUP BY doc_id, page) x WINDOW w AS (PARTITION BY doc_id ORDER BY page)"))
 def page_context(spark, d):
     """The last text of the page before and the first of the page after, cut short."""
-    rows = block_table(spark, d).groupBy("doc_id", "page").agg(F.max_by("text", "ord").alias("last"), F.min_by("text", "ord").alias("first"))
-    w = Window.partitionBy("doc_id").orderBy("page")
-    return rows.select("doc_id", "page", F.lag(T.clip(F.col("last"), 320)).over(w).alias("before"), F.lead(T.clip(F.col("first"), 320)).over(w).alias("after"))
+    return D.page_context(block_table(spark, d))
 
 
 @query("chat_context", S.with_blocks("SELECT doc_id, string_agg(source_id || ': ' || translated, chr(10) ORDER BY ord) AS context, string_agg(source_id, '|' ORDER BY ord) FILTER (r <= 5) AS citations FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS r FROM b WHERE translated <> '') z WHERE r <= 40 GROUP BY doc_id"))
@@ -355,10 +352,7 @@ _VALID = "translate AND translated <> '' AND NOT starts_with(translated, '[翻
 @query("report_rollup", S.with_blocks(f"SELECT doc_id, sum(t)::BIGINT AS translated_blocks, sum(p)::BIGINT AS protected, sum(a)::BIGINT AS absorbed, sum(r)::BIGINT AS retained, CASE WHEN sum(r) > 0 THEN 'needs_review' ELSE 'passed' END AS status, count(*) AS pages FROM (SELECT doc_id, page, count(*) FILTER ({_VALID}) AS t, count(*) FILTER (NOT translate) AS p, count(*) FILTER (starts_with(translated, '[MERGED_INTO:')) AS a, count(*) FILTER (translate AND (translated = '' OR starts_with(translated, '[翻译失败:'))) AS r FROM b GROUP BY doc_id, page) z GROUP BY doc_id"))
 def report_rollup(spark, d):
     """Page reports, then the document's."""
-    failed = F.col("translate") & ((translated() == "") | F.startswith(translated(), F.lit(P.FAILED)))
-    absorbed = F.startswith(translated(), F.lit(P.ABSORBED))
-    pages = block_table(spark, d).groupBy("doc_id", "page").agg(F.count_if(F.col("translate") & ~failed & ~absorbed).alias("t"), F.count_if(~F.col("translate")).alias("p"), F.count_if(absorbed).alias("a"), F.count_if(failed).alias("r"))
-    return pages.groupBy("doc_id").agg(F.sum("t").alias("translated_blocks"), F.sum("p").alias("protected"), F.sum("a").alias("absorbed"), F.sum("r").alias("retained"), F.when(F.sum("r") > 0, "needs_review").otherwise("passed").alias("status"), F.count("*").alias("pages"))
+    return D.document_reports(D.page_reports(block_table(spark, d)))
 
 
 @query("pipeline_counters", S.with_blocks("SELECT doc_id, count(*) FILTER (vision AND translate) AS vision_blocks, count(*) FILTER (starts_with(translated, '[翻译失败:') AND ord % 4 = 0) AS fallbacks, count(*) FILTER (starts_with(translated, '[翻译失败:') AND ord % 4 <> 0) AS repairs, count(*) FILTER (starts_with(translated, '[MERGED_INTO:')) AS merges FROM b GROUP BY doc_id"))
@@ -369,10 +363,7 @@ def pipeline_counters(spark, d):
 
 @query("progress", S.with_blocks("SELECT doc_id, page, round(5 + 90 * ((p - 1) + 0.8::DOUBLE) / n, 6) AS middle, round(5 + 90 * p::DOUBLE / n, 6) AS done FROM (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS p, count(*) OVER (PARTITION BY doc_id) AS n FROM (SELECT DISTINCT doc_id, page FROM b) z) y"))
 def progress(spark, d):
-    pages = block_table(spark, d).select("doc_id", "page").distinct()
-    p = F.row_number().over(Window.partitionBy("doc_id").orderBy("page"))
-    n = F.count("*").over(Window.partitionBy("doc_id"))
-    return pages.select("doc_id", "page", F.round(5 + 90 * ((p - 1) + 0.8) / n, 6).alias("middle"), F.round(5 + 90 * p / n, 6).alias("done"))
+    return D.progress(block_table(spark, d).select("doc_id", "page").distinct())
 
 
 @query("page_publish", S.with_blocks("SELECT doc_id, page, count(*) AS blocks, md5(string_agg(translated, chr(10) ORDER BY ord)) AS digest FROM b GROUP BY doc_id, page"))

@@ -11,6 +11,7 @@ from quillspark.functions import layout as L
 from quillspark.functions import patterns as P
 from quillspark.functions import text as T
 from quillspark.operators import artwork, pages
+from quillspark.operators import geometry as G
 from quillspark.plans import sql as S
 from quillspark.plans.fidelity import block_table
 
@@ -216,10 +217,7 @@ def rect_overlap(spark, d):
 
 @query("overlap_drop", f"SELECT doc_id, ord FROM b EXCEPT SELECT a.doc_id, CASE WHEN {_area('a')} <= {_area('o')} THEN a.ord ELSE o.ord END FROM b a JOIN b o ON {SAME} AND a.ord < o.ord AND {_SIG}")
 def overlap_drop(spark, d):
-    """Blocks that stay when of two that overlap the smaller goes, the earlier one of two alike."""
-    lost = paired(spark, d, "inner", earlier() & L.significant(first(), other(), L.PREPARED)).select(F.col("a.doc_id").alias("of"), F.when(L.area(first()) <= L.area(other()), F.col("a.ord")).otherwise(F.col("o.ord")).alias("at")).distinct()
-    rows = block_table(spark, d)
-    return rows.join(lost, rows.doc_id.eqNullSafe(lost["of"]) & (rows.ord == lost["at"]), "left_anti").select("doc_id", "ord")
+    return G.without_overlaps(block_table(spark, d)).select("doc_id", "ord")
 
 
 _NEAR = "least(a.y1, o.y1) - greatest(a.y0, o.y0) > {above} AND greatest(a.x0, o.x0) - least(a.x1, o.x1) < {gap} AND NOT (o.x0 >= a.x1 + 24 AND o.x0 - a.x0 > 100)"
@@ -228,8 +226,7 @@ _NEAR = "least(a.y1, o.y1) - greatest(a.y0, o.y0) > {above} AND greatest(a.x0, o
 @query("near_formula", f"SELECT doc_id, ord FROM b a WHERE EXISTS (SELECT 1 FROM b o WHERE {SAME} AND o.type = 'formula' AND NOT o.translate AND o.ord <> a.ord AND {_NEAR.format(above=-4, gap=48)})")
 def near_formula(spark, d):
     rows = block_table(spark, d)
-    formulas = rows.where("type = 'formula' AND NOT translate")
-    return rows.alias("a").join(formulas.alias("o"), page_key(rows, "a", "o") & (F.col("a.ord") != F.col("o.ord")) & L.near(first(), other(), -4, 48), "left_semi").select("doc_id", "ord")
+    return G.beside(rows, rows.where("type = 'formula' AND NOT translate")).select("doc_id", "ord")
 
 
 @query("inside_art", f"SELECT doc_id, ord FROM b a WHERE EXISTS (SELECT 1 FROM b o WHERE {SAME} AND o.ord <> a.ord AND a.x0 >= 40 AND a.x1 <= 580 AND o.y0 - 40 <= a.y0 AND o.y1 + 40 >= a.y1 AND o.type = 'caption' AND 540.0 * (o.y1 - o.y0 + 80) < {_area('a')} * 8)")
@@ -254,25 +251,17 @@ _DIST = "(abs(a.x0 - o.x0) + abs(a.y0 - o.y0) + abs(a.x1 - o.x1) + abs(a.y1 - o.
 
 @query("nearest_block", f"SELECT a.doc_id, a.ord, arg_min(o.raw_ord, struct_pack(d := {_DIST}, r := o.raw_ord)) AS raw_ord FROM b a LEFT JOIN raw o ON {SAME} GROUP BY a.doc_id, a.ord", RAW_SQL)
 def nearest_block(spark, d):
-    rows, raw = block_table(spark, d), raw_table(spark, d)
-    met = rows.alias("a").join(raw.alias("o"), page_key(rows, "a", "o"), "left")
-    return met.groupBy("a.doc_id", "a.ord").agg(F.min_by("o.raw_ord", F.struct(L.distance(first(), other()), F.col("o.raw_ord"))).alias("raw_ord"))
+    return G.nearest(block_table(spark, d), raw_table(spark, d))
 
 
 @query("geometry_rematch", f"SELECT a.doc_id, a.ord, arg_min(o.raw_ord, struct_pack(d := abs(a.x0 - o.x0) + abs(a.y0 - o.y0), r := o.raw_ord)) AS raw_ord, coalesce(arg_min(o.y0, struct_pack(d := abs(a.x0 - o.x0) + abs(a.y0 - o.y0), r := o.raw_ord)), any_value(a.y0)) AS y0 FROM b a LEFT JOIN raw o ON {SAME} AND greatest(abs(a.x0 - o.x0), abs(a.y0 - o.y0), abs(a.x1 - o.x1), abs(a.y1 - o.y1)) < 1 GROUP BY a.doc_id, a.ord", RAW_SQL)
 def geometry_rematch(spark, d):
-    rows, raw = block_table(spark, d), raw_table(spark, d)
-    close = F.greatest(*[F.abs(first()[k] - other()[k]) for k in first()]) < 1
-    order = F.struct(F.abs(first()["x0"] - other()["x0"]) + F.abs(first()["y0"] - other()["y0"]), F.col("o.raw_ord"))
-    met = rows.alias("a").join(raw.alias("o"), page_key(rows, "a", "o") & close, "left")
-    return met.groupBy("a.doc_id", "a.ord").agg(F.min_by("o.raw_ord", order).alias("raw_ord"), F.coalesce(F.min_by("o.y0", order), F.first("a.y0")).alias("y0"))
+    return G.rematched(block_table(spark, d), raw_table(spark, d))
 
 
 @query("text_rematch", f"SELECT a.doc_id, a.ord, arg_min(o.raw_ord, struct_pack(d := abs(a.x0 - o.x0) + abs(a.y0 - o.y0), r := o.raw_ord)) AS raw_ord FROM b a JOIN raw o ON {SAME} AND a.text = o.text GROUP BY a.doc_id, a.ord", RAW_SQL)
 def text_rematch(spark, d):
-    rows, raw = block_table(spark, d), raw_table(spark, d)
-    met = rows.alias("a").join(raw.alias("o"), page_key(rows, "a", "o") & (F.col("a.text") == F.col("o.text")))
-    return met.groupBy("a.doc_id", "a.ord").agg(F.min_by("o.raw_ord", F.struct(F.abs(first()["x0"] - other()["x0"]) + F.abs(first()["y0"] - other()["y0"]), F.col("o.raw_ord"))).alias("raw_ord"))
+    return G.rematched_by_text(block_table(spark, d), raw_table(spark, d))
 
 
 _TARGET = "regexp_extract(translated, '^\\[MERGED_INTO:(.+?)\\]$', 1)"
@@ -280,25 +269,17 @@ _TARGET = "regexp_extract(translated, '^\\[MERGED_INTO:(.+?)\\]$', 1)"
 
 @query("absorb_union", f"SELECT b.doc_id, b.ord, least(x0, coalesce(mx0, x0)) AS x0, greatest(x1, coalesce(mx1, x1)) AS x1, greatest(y1, coalesce(my1, y1)) AS y1, coalesce(n, 0) AS members FROM b LEFT JOIN (SELECT doc_id, {_TARGET} AS target, min(x0) AS mx0, max(x1) AS mx1, max(y1) AS my1, count(*) AS n FROM b WHERE {_TARGET} <> '' GROUP BY ALL) g ON b.doc_id IS NOT DISTINCT FROM g.doc_id AND b.source_id = g.target WHERE {_TARGET} = ''")
 def absorb_union(spark, d):
-    rows = block_table(spark, d).withColumn("target", F.regexp_extract("translated", r"^\[MERGED_INTO:(.+?)\]$", 1))
-    members = rows.where("target <> ''").groupBy("doc_id", "target").agg(F.min("x0").alias("mx0"), F.max("x1").alias("mx1"), F.max("y1").alias("my1"), F.count("*").alias("n"))
-    left = rows.where("target = ''").drop("target")
-    met = left.alias("a").join(members.alias("g"), F.col("a.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("source_id") == F.col("target")), "left")
-    return met.select("a.doc_id", "ord", F.least("x0", "mx0").alias("x0"), F.greatest("x1", "mx1").alias("x1"), F.greatest("y1", "my1").alias("y1"), F.coalesce("n", F.lit(0)).alias("members"))
+    return G.absorbed(block_table(spark, d))
 
 
 @query("flow_limit", f"SELECT a.doc_id, a.ord, greatest(any_value(a.y1), least(780.0, any_value(a.y1) + 20, coalesce(min(o.y0 - 1), 1e9))) AS y1 FROM b a LEFT JOIN b o ON {SAME} AND o.ord <> a.ord AND least(a.x1, o.x1) > greatest(a.x0, o.x0) AND o.y0 >= a.y1 - 0.1 WHERE a.translate GROUP BY a.doc_id, a.ord")
 def flow_limit(spark, d):
-    rows = block_table(spark, d)
-    below = (F.col("a.ord") != F.col("o.ord")) & (F.least(first()["x1"], other()["x1"]) > F.greatest(first()["x0"], other()["x0"])) & (other()["y0"] >= first()["y1"] - 0.1)
-    met = rows.where("translate").alias("a").join(rows.alias("o"), page_key(rows, "a", "o") & below, "left")
-    end = F.first("a.y1")
-    return met.groupBy("a.doc_id", "a.ord").agg(F.greatest(end, F.least(F.lit(L.PAGE_HEIGHT - 12), end + 20, F.min(other()["y0"] - 1))).alias("y1"))
+    return G.flow_limits(block_table(spark, d))
 
 
 @query("reading_order", "SELECT doc_id, ord, row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, x0, ord) AS place FROM b")
 def reading_order(spark, d):
-    return block_table(spark, d).select("doc_id", "ord", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("y0", "x0", "ord")).cast("long").alias("place"))
+    return G.in_reading_order(block_table(spark, d)).select("doc_id", "ord", "place")
 
 
 @query("page_count", "SELECT doc_id, max(page) AS pages, count(*) AS blocks FROM b GROUP BY doc_id")
@@ -327,19 +308,8 @@ def protected_rects(spark, d):
     + ") v(level, s, h) WHERE translate) z GROUP BY doc_id, ord",
 )
 def fit_ladder(spark, d):
-    """The first level at which a translation fits by a budget of characters (an approximation: nothing is typeset), or -1."""
-    size = F.col("font_size")
-
-    def fits(scale, spread):
-        adjusted = F.greatest(F.lit(7.0), size * scale)
-        floor = F.greatest(F.lit(0.6), F.least(F.lit(1.0), 5.5 / adjusted))
-        per_line = F.greatest(F.lit(1), F.floor(width() / (adjusted * 0.7 * floor)))
-        return F.ceil(F.length("translated") / per_line) * adjusted * spread * floor <= height()
-
-    level = F.lit(-1)
-    for i, (scale, spread) in reversed(list(enumerate(L.LEVELS))):
-        level = F.when(fits(scale, spread), i).otherwise(level)
-    return block_table(spark, d).where("translate").select("doc_id", "ord", level.cast("int").alias("level"))
+    level = G.fit_level(F.col("translated"), F.col("font_size"), width(), height())
+    return block_table(spark, d).where("translate").select("doc_id", "ord", level.alias("level"))
 
 
 @query(
@@ -347,14 +317,7 @@ def fit_ladder(spark, d):
     f"SELECT doc_id, ord, CASE WHEN translated = '' OR starts_with(translated, '[翻译失败:') THEN '没有有效译文，已保留原文' WHEN x1 <= x0 OR y1 <= y0 OR x0 < 0 OR y0 < 0 OR x1 > 612 OR y1 > 792 THEN '文字区域越界，已保留原文' WHEN EXISTS (SELECT 1 FROM b o WHERE {SAME} AND NOT o.translate AND {_SIG.replace('0.15', '0.10')}) THEN '与公式或图形保护区相交，已保留原文' END AS reason FROM b a WHERE translate AND NOT starts_with(translated, '[MERGED_INTO:')",
 )
 def retention_reason(spark, d):
-    rows = block_table(spark, d)
-    locks = rows.where("NOT translate")
-    mine = rows.where(F.col("translate") & ~F.startswith("translated", F.lit(P.ABSORBED)))
-    hit = mine.alias("a").join(locks.alias("o"), page_key(rows, "a", "o") & L.significant(first(), other(), L.INITIAL)).select(F.col("a.doc_id").alias("of"), F.col("a.ord").alias("at")).distinct()
-    met = mine.join(hit, mine.doc_id.eqNullSafe(hit["of"]) & (mine.ord == hit["at"]), "left")
-    page = {"x0": F.lit(0.0), "y0": F.lit(0.0), "x1": F.lit(L.PAGE_WIDTH), "y1": F.lit(L.PAGE_HEIGHT)}
-    reason = F.when((T.stripped(F.col("translated")) == "") | F.startswith("translated", F.lit(P.FAILED)), "没有有效译文，已保留原文").when((L.area(own()) <= 0) | ~L.contains(page, own()), "文字区域越界，已保留原文").when(F.col("at").isNotNull(), "与公式或图形保护区相交，已保留原文")
-    return met.select("doc_id", "ord", reason.alias("reason"))
+    return G.retained(block_table(spark, d)).select("doc_id", "ord", "reason")
 
 
 # ---- what needs the order of a page
