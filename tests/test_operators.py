@@ -48,6 +48,27 @@ def test_touching_art_becomes_one_region():
     assert [(g["x0"], g["x1"], g["parts"]) for g in got] == [(0.0, 60.0, 2)]
 
 
+def test_operators_over_blocks_take_any_table(spark):
+    """Null ids are a document, pages without counterparts keep their blocks, ties go to the first, columns of the user's stay."""
+    from quillspark.operators import geometry as G
+
+    schema = "doc_id long, page long, ord long, x0 double, y0 double, x1 double, y1 double, text string, translate boolean, translated string, source_id string, mine string"
+    row = lambda d, o, x0, y0, x1, y1, t="t", go=True, said="s": (d, 1, o, x0, y0, x1, y1, t, go, said, f"s{o}", "keep")
+    rows = spark.createDataFrame([row(None, 0, 0.0, 0.0, 100.0, 100.0), row(None, 1, 0.0, 0.0, 100.0, 100.0), row(1, 0, 0.0, 0.0, 100.0, 20.0, said=""), row(1, 1, 0.0, 30.0, 100.0, 50.0, go=False), row(1, 2, 50.0, 45.0, 150.0, 80.0)], schema)
+    left = G.without_overlaps(rows)
+    assert sorted((r["doc_id"] or 0, r["ord"], r["mine"]) for r in left.collect()) == [(0, 1, "keep"), (1, 0, "keep"), (1, 1, "keep"), (1, 2, "keep")]
+    raw = spark.createDataFrame([(None, 1, 7, 0.5, 0.0, 100.0, 100.0, "t"), (None, 1, 8, 0.5, 0.0, 100.0, 100.0, "u")], "doc_id long, page long, raw_ord long, x0 double, y0 double, x1 double, y1 double, text string")
+    for found in (G.nearest(rows, raw), G.rematched(rows, raw)):
+        assert {((r["doc_id"], r["ord"]), r["raw_ord"]) for r in found.collect()} == {((None, 0), 7), ((None, 1), 7), ((1, 0), None), ((1, 1), None), ((1, 2), None)}
+    assert {(r["doc_id"], r["ord"]): r["y1"] for r in G.flow_limits(rows).collect()} == {(None, 0): 120.0, (None, 1): 120.0, (1, 0): 29.0, (1, 2): 100.0}
+    assert {(r["doc_id"], r["ord"]): r["reason"] for r in G.retained(rows).collect()} == {(None, 0): None, (None, 1): None, (1, 0): "没有有效译文，已保留原文", (1, 2): "与公式或图形保护区相交，已保留原文"}
+    assert [r["place"] for r in G.in_reading_order(rows).where("doc_id = 1").orderBy("ord").collect()] == [1, 2, 3]
+    files = spark.createDataFrame([(None, 1, 612), (1, 1, 595), (3, 2, 612)], "doc_id long, page long, fw int")
+    pages_ = rows.select("doc_id", "page").distinct().withColumn("w", F.lit(612))
+    assert {r["doc_id"]: (r["pages"], r["complete"]) for r in D.assembled(pages_, files).collect()} == {None: (1, True), 1: (1, False), 3: (1, False)}
+    assert G.without_overlaps(rows.limit(0)).count() == G.nearest(rows.limit(0), raw).count() == 0
+
+
 def test_clips_hold_until_something_ends_them(spark):
     from quillspark.operators import artwork
 
