@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch at most, where the session sets nothing itself: long texts then fit a worker.
-BATCH_ROWS = 2000
+#: Rows and bytes (by the batch's mean) of the pieces in which batches are worked on.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,13 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", "")
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one, but only if the
+    executors are threads of the driver (tests); on a cluster that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not found:
-        current = spark.sparkContext.getCheckpointDir()
-        found = current or f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
-        if not current:
-            spark.sparkContext.setCheckpointDir(found)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
+        spark.sparkContext.setCheckpointDir(found)
     return found
 
 
@@ -63,11 +65,15 @@ def freed_shuffles(spark: SparkSession):
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow in batches of a bounded number of rows."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(fn, schema)
+    """mapInArrow; fn gets batches of BATCH_ROWS rows and some BATCH_BYTES bytes at most, whatever batches the session sends (64 MB by Spark's default)."""
+
+    def cut(batches):
+        for batch in batches:
+            rows = max(1, min(BATCH_ROWS, BATCH_BYTES * batch.num_rows // max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+
+    return df.mapInArrow(lambda batches: fn(cut(batches)), schema)
 
 
 def crc_mod(doc_id, n: int):

@@ -4,6 +4,9 @@ Links are (a, b) of 64-bit nodes. The large star links each node's larger neighb
 small star its smaller ones; both repeat until nothing changes, when every node is linked to the smallest of its
 component. Each round is two aggregations and joins, split by Spark where a node has very many links; rounds are
 cut by tables in the shared folder.
+
+Defined results: links of a node to itself and repeated links don't count, links with a null end are left out, no links give no rows; a node without a link isn't
+returned. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ words of that document's own grid (blocks at multiples of BLOCK; 2 * BLOCK - 1 <
 3. The marked windows of a document join to maximal repeats, and the words that they cover are removed.
 
 Hashes travel packed, in a row for each bucket and many documents, so that a probe takes five bytes and those of its id above
-the row's least one.
+the row's least one. What documents of one task decide among themselves doesn't travel: of a hash that many of them have, only the probes that
+are still open go on, with the least block and the greatest document; of a window, the least document alone.
 Anchors have 39 bits and their bucket's; what decides are hashes of 64 bits and the bucket, which another hash (the
 least of the window's blocks) gives: texts are held equal if both agree. No window is compared with another: a passage that a third of all
 documents share costs as much as any other words.
@@ -26,113 +27,36 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import common
+from quillspark.llm.packed import MAX_BITS, MULTIPLIERS, groups, ids_of, packed, rolling, rows_by_bucket, unpacked, whole_groups, word_hashes
 
 LENGTH, BLOCK = 50, 25
-#: Documents for each bucket, and bits of the buckets' number at most.
-DOCS_PER_BUCKET, MAX_BITS = 1024, 23
-_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Documents for each bucket.
+DOCS_PER_BUCKET = 1024
 _BLOCK_BITS = 39
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter([digest(w) for w in words], np.uint64, len(words))
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-def rolling(hashes: np.ndarray, size: int, which: int) -> np.ndarray:
-    """A 64-bit hash of each run of size hashes, equal wherever the run stands."""
-    n = len(hashes) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    base = _MULTIPLIERS[which]
-    total = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * _powers(base, len(hashes)), dtype=np.uint64, out=total[1:])
-    h = (total[size:] - total[:n]) * _powers(pow(base, -1, 1 << 64), n)
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
-
-
-def _packed(values: np.ndarray, width: int) -> bytes:
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-
-def _unpacked(data: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
-    return out.view("<u8").reshape(-1)
-
-
-def _width(span: int) -> int:
-    return max(1, (span.bit_length() + 7) // 8)
-
-
-def _rows_by_bucket(bucket: np.ndarray, ids: np.ndarray, parts: list[tuple[np.ndarray, int]]):
-    """(bucket, least id, packed ids above it, packed parts...) for each bucket that has entries."""
-    base = int(ids.min())
-    width = _width(int(ids.max()) - base)
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
-    packed = [((ids - base).astype(np.uint64)[order], width), *((x[order], w) for x, w in parts)]
-    packed = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :w]) for x, w in packed]
-    cuts = np.flatnonzero(np.diff(bucket)) + 1
-    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)], strict=True):
-        yield (int(bucket[a]), base, *(x[a:b].tobytes() for x in packed))
-
-
-def _ids(base: int, packed: bytes, n: int) -> np.ndarray:
-    return _unpacked(packed, len(packed) // n).astype(np.int64) + base
-
-
-def _sent(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * (len(names) - 2)]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
-
-
-def _packed_batches(entries, bits: int, widths: list[int], names: list[str]):
-    """Batches of packed rows of entries: (bucket, id, value, ...) arrays of one document after another. So many entries go together
+def _in_pieces(entries, bits: int):
+    """Concatenated columns of entries, arrays (bucket, id, value...) of one document after another. So many entries go together
     that a row has some, however many buckets there are."""
     enough = max(1 << 18, min(16 << bits, 1 << 22))
     held, n = [], 0
-
-    def flush():
-        bucket, ids, *values = (np.concatenate(x) for x in zip(*held, strict=True))
-        return _sent(list(_rows_by_bucket(bucket.astype(np.int64), ids, list(zip((v.astype(np.uint64) for v in values), widths, strict=True)))), names)
-
     for e in entries:
         held.append(e)
         n += len(e[0])
         if n >= enough:
-            yield flush()
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
             held, n = [], 0
     if held:
-        yield flush()
-
-
-def _whole_groups(batches, columns):
-    """(key, columns) of all rows of a key, of batches that are ordered by their first column."""
-    key, held = None, []
-    for batch in batches:
-        rows = [batch.column(c).to_pylist() for c in columns]
-        for row in zip(*rows, strict=True):
-            if row[0] != key and held:
-                yield key, held
-                held = []
-            key = row[0]
-            held.append(row[1:])
-    if held:
-        yield key, held
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _sent(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * (len(names) - 2)]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
 
 def _bucket_bits(docs: DataFrame) -> int:
@@ -145,39 +69,60 @@ def anchors(docs: DataFrame, bits: int, length: int = LENGTH, block: int = BLOCK
     if 2 * block - 1 > length:
         raise ValueError("a repeat of length words has to hold a whole block")
 
+    names = ["bucket", "base", "ids", "entries"]
+
     def entries(batches):
         for batch in batches:
             for doc_id, t in zip(batch.column("doc_id").to_pylist(), common.utf8(batch, "text"), strict=True):
                 w = t.split()
                 if len(w) >= length:
-                    h = rolling(word_hashes(w), block, 0)
-                    grid = (np.arange(len(h)) % block == 0).astype(np.uint64)
-                    yield h >> np.uint64(64 - bits), np.full(len(h), doc_id), (((h << np.uint64(bits)) >> np.uint64(64 - _BLOCK_BITS)) << np.uint64(1)) | grid
+                    h = rolling(word_hashes(w), block, 0) >> np.uint64(64 - bits - _BLOCK_BITS)
+                    yield h, np.full(len(h), doc_id), np.arange(len(h)) % block == 0
+
+    def hits(h, doc, grid):
+        """Of entries in order of h: groups, where each begins, and which entries tie two documents: the larger's probe, the smaller's block."""
+        first, size = groups(h)
+        least = np.repeat(np.minimum.reduceat(np.where(grid, doc, np.iinfo(np.int64).max), first), size)
+        most = np.repeat(np.maximum.reduceat(doc, first), size)
+        return least, most, (least < most) & ((doc > least) | (grid & (doc < most)))
+
+    def by_document(doc, h):
+        """(document, packed hashes) of entries."""
+        order = np.argsort(doc, kind="stable")
+        doc, h = doc[order], h[order]
+        first, size = groups(doc)
+        return [(int(doc[a]), packed(np.unique(h[a : a + n]), 8)) for a, n in zip(first.tolist(), size.tolist(), strict=True)]
 
     def probes(batches):
-        yield from _packed_batches(entries(batches), bits, [5], ["bucket", "base", "ids", "entries"])
+        for h, doc, grid in _in_pieces(entries(batches), bits):
+            order = np.argsort(h)
+            go, out = np.ones(len(h), bool), []
+            _, size = groups(h[order])
+            several = order[np.repeat(size > 1, size)]
+            if len(several):
+                k, d, g = h[several], doc[several], grid[several]
+                least, most, hit = hits(k, d, g)
+                go[several] = ~hit | (g & (d == least)) | (d == most)
+                out = [(int(d % (1 << bits)), int(d), None, x) for d, x in by_document(d[hit], k[hit])]
+            h, doc, grid = h[go], doc[go], grid[go]  # in the documents' order: their ids then compress
+            entry = ((h & np.uint64((1 << _BLOCK_BITS) - 1)) << np.uint64(1)) | grid.astype(np.uint64)
+            yield _sent([*out, *rows_by_bucket((h >> np.uint64(_BLOCK_BITS)).astype(np.int64), doc, [(entry, 5)])], names)
 
     def met(batches):
-        for bucket, rows in _whole_groups(batches, ("bucket", "base", "ids", "entries")):
-            entry = [_unpacked(e, 5) for _, _, e in rows]
-            doc = np.concatenate([_ids(i, o, len(e)) for (i, o, _), e in zip(rows, entry, strict=True)])
-            entry = np.concatenate(entry)
-            grid, h = (entry & np.uint64(1)).astype(bool), entry >> np.uint64(1)
-            order = np.argsort(h, kind="stable")
-            doc, grid, h = doc[order], grid[order], h[order]
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            size = np.diff(np.concatenate([first, [len(h)]]))
-            least = np.repeat(np.minimum.reduceat(np.where(grid, doc, np.iinfo(np.int64).max), first), size)
-            most = np.repeat(np.maximum.reduceat(doc, first), size)
-            hit = (least < most) & ((doc > least) | (grid & (doc < most)))
-            doc, h = doc[hit], h[hit] | np.uint64(bucket << _BLOCK_BITS)
-            if not len(doc):
+        found = lambda rows: pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["doc_id", "hashes"])
+        for bucket, rows in whole_groups(batches, names):
+            yield found([(doc, x) for doc, ids, x in rows if ids is None])
+            rows = [r for r in rows if r[1] is not None]
+            if not rows:
                 continue
-            order = np.argsort(doc, kind="stable")
-            doc, h = doc[order], h[order]
-            first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-            ends = np.concatenate([first[1:], [len(doc)]])
-            yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array([_packed(np.unique(h[a:b]), 8) for a, b in zip(first, ends, strict=True)], pa.binary())], ["doc_id", "hashes"])
+            entry = [unpacked(e, 5) for _, _, e in rows]
+            doc = np.concatenate([ids_of(i, o, len(e)) for (i, o, _), e in zip(rows, entry, strict=True)])
+            entry = np.concatenate(entry)
+            order = np.argsort(entry, kind="stable")
+            doc, entry = doc[order], entry[order]
+            h = entry >> np.uint64(1)
+            hit = hits(h, doc, (entry & np.uint64(1)).astype(bool))[2]
+            yield found(by_document(doc[hit], h[hit] | np.uint64(bucket << _BLOCK_BITS)))
 
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dealt = common.map_batches(rows, probes, "bucket int, base long, ids binary, entries binary").repartition("bucket").sortWithinPartitions("bucket")
@@ -207,32 +152,48 @@ def marked_windows(docs: DataFrame, found: DataFrame, bits: int, length: int = L
                 np.add.at(cover, at + 1, -1)
                 start = np.flatnonzero(np.cumsum(cover)[:n])
                 # the least block that a window holds decides its bucket: neighbouring windows mostly share it
-                least = np.lib.stride_tricks.sliding_window_view(blocks, length - block + 1).min(axis=1)[start] * np.uint64(_MULTIPLIERS[0])
-                yield least >> np.uint64(64 - bits), np.full(len(start), doc_id), rolling(hashes, length, 1)[start], start, np.full(len(start), tag & 0xFFFFFFFF)
+                least = np.lib.stride_tricks.sliding_window_view(blocks, length - block + 1).min(axis=1)[start] * np.uint64(MULTIPLIERS[0])
+                yield least >> np.uint64(64 - bits), np.full(len(start), doc_id), rolling(hashes, length, 1)[start], start, np.full(len(start), tag)
+
+    names = ["bucket", "base", "ids", "hashes", "starts", "tags"]
+
+    def by_text(doc, tag, start):
+        """(document, tag, packed starts) of windows."""
+        order = np.lexsort((tag, doc))
+        doc, tag, start = doc[order], tag[order], start[order].astype(np.uint64)
+        first, size = groups(doc, tag)
+        return [(int(doc[a]), int(tag[a]), packed(start[a : a + n], 4)) for a, n in zip(first.tolist(), size.tolist(), strict=True)]
+
+    def judge(h, doc):
+        """Whether a smaller document has the window, of windows in any order."""
+        order = np.argsort(h, kind="stable")
+        first, size = groups(h[order])
+        least = np.empty(len(h), np.int64)
+        least[order] = np.repeat(np.minimum.reduceat(doc[order], first), size)
+        return doc > least
 
     def windows(batches):
-        yield from _packed_batches(entries(batches), bits, [8, 4, 4], ["bucket", "base", "ids", "hashes", "starts", "tags"])
+        for bucket, doc, h, start, tag in _in_pieces(entries(batches), bits):
+            hit = judge(h, doc)
+            out = [(int(d % (1 << bits)), d, None, None, x, np.array([t], "<i4").tobytes()) for d, t, x in by_text(doc[hit], tag[hit], start[hit])]
+            go = ~hit
+            parts = [(h[go], 8), (start[go].astype(np.uint64), 4), ((tag[go] & 0xFFFFFFFF).astype(np.uint64), 4)]
+            yield _sent([*out, *rows_by_bucket(bucket[go].astype(np.int64), doc[go], parts)], names)
 
     def judged(batches):
-        for _, rows in _whole_groups(batches, ("bucket", "base", "ids", "hashes", "starts", "tags")):
-            h = [np.frombuffer(r[2], "<u8") for r in rows]
-            doc = np.concatenate([_ids(r[0], r[1], len(x)) for r, x in zip(rows, h, strict=True)])
-            h = np.concatenate(h)
-            start = np.concatenate([_unpacked(r[3], 4) for r in rows])
-            tag = np.concatenate([np.frombuffer(r[4], "<i4") for r in rows])
-            order = np.argsort(h, kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
-            least = np.empty(len(h), np.int64)
-            least[order] = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.concatenate([first, [len(h)]])))
-            hit = doc > least
-            doc, tag, start = doc[hit], tag[hit], start[hit]
-            if not len(doc):
+        def found(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["doc_id", "tag", "starts"])
+
+        for _, rows in whole_groups(batches, names):
+            yield found([(r[0], int(np.frombuffer(r[4], "<i4")[0]), r[3]) for r in rows if r[1] is None])
+            rows = [r for r in rows if r[1] is not None]
+            if not rows:
                 continue
-            order = np.lexsort((tag, doc))
-            doc, tag, start = doc[order], tag[order], start[order]
-            first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])]))
-            ends = np.concatenate([first[1:], [len(doc)]])
-            yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(tag[first]), pa.array([_packed(start[a:b], 4) for a, b in zip(first, ends, strict=True)], pa.binary())], ["doc_id", "tag", "starts"])
+            h = [np.frombuffer(r[2], "<u8") for r in rows]
+            doc = np.concatenate([ids_of(r[0], r[1], len(x)) for r, x in zip(rows, h, strict=True)])
+            start, tag = np.concatenate([unpacked(r[3], 4) for r in rows]), np.concatenate([np.frombuffer(r[4], "<i4") for r in rows])
+            hit = judge(np.concatenate(h), doc)
+            yield found(by_text(doc[hit], tag[hit], start[hit]))
 
     met = found.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
     rows = _tagged(docs).where("doc_id is not null and text is not null").select("doc_id", "tag", "text").join(met, "doc_id")
