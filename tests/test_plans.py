@@ -35,6 +35,9 @@ def test_filters_reach_the_scan(spark, sf_dir):
     assert "EqualTo(toxic,1)" in text
 
 
-def test_extraction_is_one_stage(spark, sf_dir):
-    text = plan(fidelity.QUERIES["protected_tokens"](spark, sf_dir))
+def test_extraction_is_one_stage(spark, sf_dir, tmp_path):
+    """Of a table that is read in as many parts as there are cores; one that isn't is dealt out first."""
+    spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(32).write.parquet(f"file://{tmp_path}/documents.parquet")
+    text = plan(fidelity.QUERIES["protected_tokens"](spark, f"file://{tmp_path}"))
     assert "Exchange" not in text and "Python" not in text and "Arrow" not in text
+    assert plan(fidelity.QUERIES["protected_tokens"](spark, sf_dir)).count("REPARTITION_BY_NUM") <= 2
