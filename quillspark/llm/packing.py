@@ -1,18 +1,20 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
 Each source is a queue of tokens, its documents one after another, dealt out in quanta of SLOT tokens. The target
-proportions are the sources' shares of all tokens. A quantum falls due when its queue's deficit, the tokens that its
+proportions are given as weights, or else are the sources' shares of all tokens. A quantum falls due when its queue's deficit, the tokens that its
 share of the stream has earned beyond those it was served, reaches half a quantum; quanta are served in the order in which
-they fall due (ties by queue). The order is that of (2 k + 1) / K for quantum k of a queue of K, so a quantum's place in
-the stream follows from the queues' lengths alone, exactly and in integers: any task finds the places of its own
+they fall due (ties by queue, that of the greater weight first). The order is that of (2 k + 1) / w for quantum k of a queue of weight w, and a queue
+that is empty leaves its share to the others. So a quantum's place in
+the stream follows from the queues' lengths and weights alone, exactly and in integers: any task finds the places of its own
 documents, and deficits carry across windows and across partitions without a pass over the windows. Every window of
 WINDOW tokens holds WINDOW / SLOT whole quanta, of each source its share to within a quantum.
 
+Queues of one weight and as many quanta count as one group, so a place takes as many steps as there are different lengths in quanta: at
+most the root of twice the stream's quanta, however many sources there are. Each source has a queue of its own.
+
 What is left of the queues, less than a quantum of each, follows at the end. The last window isn't full; it is cut
 into sequences of powers of two, so that nothing is padded.
 
-The QUEUES sources of the most tokens have queues of their own, all others share one more.
-
 Defined results: a null text is empty, and an empty text is the closing id alone. Null sources are a source. Repeated
 rows are packed each. Other columns are ignored.
 """
@@ -33,7 +35,9 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import common
 
-WINDOW, SLOT, QUEUES, END_ID = 2048, 128, 1024, 1
+WINDOW, SLOT, END_ID = 2048, 128, 1
+#: Steps of a weight of 1.
+SCALE = 1_000_000
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
@@ -87,36 +91,38 @@ def encoder(tokenizer: str | None = None, ranks: str | None = None) -> Encoder:
 
 @dataclass
 class Layout:
-    """Where the tokens of queues of these lengths go in the stream, and the stream's sequences."""
+    """Where the tokens of queues go in the stream, and the stream's sequences. groups: (weight, quanta, queues, tokens in their tails), by falling
+    weight, then quanta; a queue is told by its group and its number in that."""
 
-    lengths: list[int]
+    groups: list[tuple[int, int, int, int]]
     window: int = WINDOW
     slot: int = SLOT
 
     def __post_init__(self):
         if self.window % self.slot:
             raise ValueError("a window has to hold whole quanta")
-        quanta = [n // self.slot for n in self.lengths]
-        wide = 2 * max(quanta, default=0) * (max(quanta, default=0) + 1) >= 1 << 62
-        self.quanta = np.array(quanta, object if wide else np.int64)
-        self.whole = sum(quanta)
-        tails = [n % self.slot for n in self.lengths]
-        self.tail_at = [self.whole * self.slot + sum(tails[:s]) for s in range(len(tails))]
-        total = sum(self.lengths)
+        weights, quanta, queues, tails = (list(x) for x in zip(*self.groups, strict=True)) if self.groups else ([], [], [], [])
+        self.whole = sum(k * m for k, m in zip(quanta, queues, strict=True))
+        wide = 2 * max(weights, default=0) * (max(quanta, default=0) + 1) >= 1 << 62 or self.whole >= 1 << 62
+        self.weights, self.quanta, self.queues = (np.array(x, object if wide else np.int64) for x in (weights, quanta, queues))
+        self.tail_at = [self.whole * self.slot + sum(tails[:g]) for g in range(len(tails))]
+        total = self.whole * self.slot + sum(tails)
         self.last, rest = divmod(total, self.window)
         self.cuts = [self.last * self.window]  # where the sequences from the last window on begin
         for bit in reversed(range(rest.bit_length())):
             if rest >> bit & 1:
                 self.cuts.append(self.cuts[-1] + (1 << bit))
 
-    def places(self, queue: int, k: np.ndarray) -> np.ndarray:
+    def places(self, group: int, number: int, k: np.ndarray) -> np.ndarray:
         """The place, among all quanta, of quanta k of a queue."""
-        own = self.quanta[queue]
-        earlier = np.arange(len(self.quanta)) < queue
+        own = self.weights[group]
+        earlier = np.arange(len(self.weights)) < group
+        step = max(1, (1 << 20) // max(1, len(self.weights)))
         out = []
-        for i in range(0, len(k), 4096):
-            due = (2 * k[i : i + 4096].astype(self.quanta.dtype) + 1)[:, None] * self.quanta[None, :]
-            out.append(((due + own - 1 + earlier) // (2 * own)).sum(axis=1))
+        for i in range(0, len(k), step):
+            due = (2 * k[i : i + step].astype(self.weights.dtype) + 1)[:, None] * self.weights[None, :]
+            served = np.minimum((due + own - 1 + earlier) // (2 * own), self.quanta[None, :])
+            out.append((served * self.queues[None, :]).sum(axis=1) + number)
         return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
 
     def sequence(self, at: int) -> tuple[int, int, int]:
@@ -126,13 +132,14 @@ class Layout:
         j = max(i for i, c in enumerate(self.cuts) if c <= at)
         return self.last + j, at - self.cuts[j], (self.cuts[j + 1] if j + 1 < len(self.cuts) else self.cuts[0] + self.window) - at
 
-    def pieces(self, queue: int, start: int, n: int, places: dict | None = None) -> list[tuple[int, int, int, int]]:
-        """(first token, tokens, sequence, offset) of the pieces of n tokens that begin at start in a queue."""
+    def pieces(self, group: int, number: int, tail: int, start: int, n: int) -> list[tuple[int, int, int, int]]:
+        """(first token, tokens, sequence, offset) of the pieces of n tokens that begin at start in a queue; tail: the tokens in the tails of its
+        group's queues before it."""
         out, at, end = [], start, start + n
-        full = int(self.quanta[queue]) * self.slot
+        full = int(self.quanta[group]) * self.slot
         if at < full:
             k = np.arange(at // self.slot, (min(end, full) - 1) // self.slot + 1)
-            for j, place in zip(k.tolist(), self.places(queue, k).tolist(), strict=True):
+            for j, place in zip(k.tolist(), self.places(group, number, k).tolist(), strict=True):
                 stop = min(end, (j + 1) * self.slot)
                 s, offset, _ = self.sequence(place * self.slot + at - j * self.slot)
                 if out and out[-1][2] == s and out[-1][3] + out[-1][1] == offset:  # quanta that follow each other stay one piece
@@ -141,7 +148,7 @@ class Layout:
                     out.append((at - start, stop - at, s, offset))
                 at = stop
         while at < end:
-            s, offset, room = self.sequence(self.tail_at[queue] + at - full)
+            s, offset, room = self.sequence(self.tail_at[group] + tail + at - full)
             take = min(room, end - at)
             out.append((at - start, take, s, offset))
             at += take
@@ -167,36 +174,49 @@ def encoded(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = N
     return common.map_batches(rows, run, f"part int, doc_id {rows.schema['doc_id'].dataType.simpleString()}, source string, start long, n long, ids binary")
 
 
-def pack(docs: DataFrame, window: int = WINDOW, slot: int = SLOT, queues: int = QUEUES, tokenizer: str | None = None, ranks: str | None = None, with_ids: bool = False) -> DataFrame:
-    """A row for each piece: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with_ids its ids (32-bit, little-endian)."""
+def pack(docs: DataFrame, window: int = WINDOW, slot: int = SLOT, weights: dict | None = None, tokenizer: str | None = None, ranks: str | None = None, with_ids: bool = False) -> DataFrame:
+    """A row for each piece: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with_ids its ids (32-bit, little-endian).
+
+    weights: target proportions by source (None: the null source), in steps of a millionth; sources that it doesn't name weigh 1. Without it
+    the sources' shares of all tokens are the target, so that all queues last to the end."""
     rows = common.stored(encoded(docs, tokenizer, ranks), "tokens")
     totals = rows.groupBy("source", "part").agg(F.sum("n").alias("tokens"))
-    by_source = totals.groupBy("source").agg(F.sum("tokens").alias("t"))
-    # a row for each source
-    by_source = by_source.select(F.col("source").alias("of"), F.least(F.row_number().over(Window.orderBy(F.desc("t"), F.col("source").asc_nulls_last())) - 1, F.lit(queues)).alias("queue"))
-    totals = totals.join(by_source, totals.source.eqNullSafe(by_source.of)).drop("of")
-    before = Window.partitionBy("queue").orderBy("source", "part").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("queue", "tokens", F.col("source").alias("of"), F.col("part").alias("of_part"), F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
-    base = common.stored(base, "queues")
-    lengths = {r["queue"]: r["t"] for r in base.groupBy("queue").agg(F.sum("tokens").alias("t")).collect()}  # queues + 1 rows at most
-    layout = Layout([lengths.get(q, 0) for q in range(max(lengths, default=-1) + 1)], window, slot)
+    by_source = totals.groupBy("source").agg(F.sum("tokens").alias("t")).withColumn("quanta", F.floor(F.col("t") / slot).cast("long"))
+    by_source = by_source.withColumn("tail", F.col("t") - F.col("quanta") * slot)
+    if weights is None:
+        by_source = by_source.withColumn("weight", F.greatest(F.col("quanta"), F.lit(1)).cast("long"))
+    else:
+        given = docs.sparkSession.createDataFrame([(n, max(1, round(w * SCALE))) for n, w in weights.items()], "name string, weight long")
+        by_source = by_source.join(given, by_source.source.eqNullSafe(given.name), "left").drop("name").withColumn("weight", F.coalesce("weight", F.lit(SCALE)))
+    alike = Window.partitionBy("weight", "quanta").orderBy(F.col("source").asc_nulls_last())
+    by_source = by_source.withColumn("number", F.row_number().over(alike) - 1).withColumn("tails", F.coalesce(F.sum("tail").over(alike.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    by_source = common.stored(by_source, "queues")
+    # a row for each weight and length in quanta
+    found = by_source.groupBy("weight", "quanta").agg(F.count("*").alias("queues"), F.sum("tail").alias("tails")).orderBy(F.desc("weight"), F.desc("quanta")).collect()
+    layout = Layout([(r["weight"], r["quanta"], r["queues"], r["tails"]) for r in found], window, slot)
+    order = {(r["weight"], r["quanta"]): i for i, r in enumerate(found)}
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select(F.col("source").alias("of"), F.col("part").alias("of_part"), F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
+    own = by_source.select(F.col("source").alias("name"), "weight", "quanta", "number", "tails")
+    base = base.join(own, base.of.eqNullSafe(own["name"])).drop("name")
+    sent = docs.sparkSession.sparkContext.broadcast((layout, order))  # as many rows as different lengths
     small = "<u2" if tokenizer is None else None
 
     def run(batches):
-        width = small or encoder(tokenizer, ranks).width
+        width, (layout, order) = small or encoder(tokenizer, ranks).width, sent.value
         for batch in batches:
             out: list[list] = [[] for _ in range(9)]
-            columns = [batch.column(c).to_pylist() for c in ("doc_id", "source", "queue", "at", "n", "ids")]
-            for doc_id, source, queue, at, n, ids in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("doc_id", "source", "weight", "quanta", "number", "tails", "at", "n", "ids")]
+            for doc_id, source, weight, quanta, number, tails, at, n, ids in zip(*columns, strict=True):
                 data = memoryview(np.frombuffer(ids, width).astype("<u4").tobytes())
-                for first, length, sequence, offset in layout.pieces(queue, at, n):
+                for first, length, sequence, offset in layout.pieces(order[weight, quanta], number, tails, at, n):
                     piece = data[4 * first : 4 * (first + length)]
                     for column, x in zip(out, (doc_id, source, first, length, zlib.crc32(piece), n, sequence, offset, bytes(piece) if with_ids else None), strict=True):
                         column.append(x)
             kinds = [batch.schema.field("doc_id").type, pa.string(), *[pa.int64()] * 6, pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    placed = rows.join(base, rows.source.eqNullSafe(base.of) & (rows.part == base.of_part)).select("doc_id", "source", "queue", (F.col("base") + F.col("start")).alias("at"), "n", "ids")
+    placed = rows.join(base, rows.source.eqNullSafe(base.of) & (rows.part == base.of_part)).select("doc_id", "source", "weight", "quanta", "number", "tails", (F.col("base") + F.col("start")).alias("at"), "n", "ids")
     kind = rows.schema["doc_id"].dataType.simpleString()
     found = common.map_batches(placed, run, f"doc_id {kind}, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
     return found if with_ids else found.drop("ids")
