@@ -4,7 +4,7 @@ A source's target over its size is the copies that each of its documents is due.
 unequal inclusion probabilities in proportion to their size (or a weight), such that the expected words are those still wanting;
 where that would exceed one, a document is certain as well and is allocated first. The others are ranked by their random odds over their
 inclusion odds, (u / (1 - u)) / (p / (1 - p)), and taken in that order as long as whole documents fit into the words that are still wanting. What
-then is left of these is filled by the document that comes nearest to it, FILLS times at most. u comes from a hash of the document's id, so that reruns agree.
+then is left of these is filled by the document that comes nearest to it, FILLS times at most; only the last may go beyond. u comes from a hash of the document's id, so that reruns agree.
 
 Texts are read once for their sizes; all else is decided on a table of ids, sources and sizes. No source is ordered in one task: ranks fall into
 bins of random odds (BINS, and more of a source of very many documents), the words of the bins are summed, and only documents of one bin are ordered among themselves.
@@ -122,8 +122,9 @@ def decided(rows: DataFrame, weights=WEIGHTS, most: int = MOST, stepped: bool =
     left = met.groupBy("source").agg(F.first("wanting").alias("gap"), F.sum(F.when(F.col("more"), F.col("words")).otherwise(0)).alias("got"))
     left = left.select(F.col("source").alias("of"), (F.col("gap") - F.col("got")).alias("gap"), F.array().cast("array<struct<words:bigint,rank:double,u:double,tag:bigint>>").alias("fills"))
     mine = F.struct("words", (-F.col("rank")).alias("rank"), "u", "tag")
-    for _ in range(FILLS):
-        free = met.where("NOT more AND size > 0").join(left, met.source.eqNullSafe(left.of)).where((F.col("words") < 2 * F.col("gap")) & ~F.array_contains("fills", mine))
+    for k in range(FILLS):
+        fits = F.col("words") < 2 * F.col("gap") if k == FILLS - 1 else F.col("words") <= F.col("gap")  # only the last may go beyond
+        free = met.where("NOT more AND size > 0").join(left, met.source.eqNullSafe(left.of)).where(fits & ~F.array_contains("fills", mine))
         best = free.groupBy("source").agg(F.max(F.struct((-F.abs(F.col("words") - F.col("gap"))).alias("near"), mine.alias("it")))["it"].alias("best")).select(F.col("source").alias("s"), "best")
         left = left.join(best, left.of.eqNullSafe(best.s), "left").select("of", F.when(F.col("best").isNull(), F.col("gap")).otherwise(F.col("gap") - F.col("best.words")).alias("gap"), F.when(F.col("best").isNull(), F.col("fills")).otherwise(F.array_append("fills", F.col("best"))).alias("fills"))
     left = common.stored(left, "fills")
@@ -180,9 +181,9 @@ r AS (SELECT *, CASE WHEN certain THEN 0 ELSE (u / (1 - u)) / (p / (1 - p)) END
 run AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY rank, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS so_far FROM r),
 f0 AS (SELECT *, size > 0 AND (certain OR so_far + words <= wanting) AS more FROM run),
 g0 AS (SELECT source AS of, any_value(wanting) - coalesce(sum(words) FILTER (more), 0) AS gap FROM f0 GROUP BY source),
-f1 AS (SELECT f0.*, gap, more OR (size > 0 AND words < 2 * gap AND row_number() OVER (PARTITION BY source, more, size > 0 AND words < 2 * gap ORDER BY abs(words - gap), words DESC, rank) = 1) AS more1 FROM f0 JOIN g0 ON source IS NOT DISTINCT FROM of),
+f1 AS (SELECT f0.*, gap, more OR (size > 0 AND words <= gap AND row_number() OVER (PARTITION BY source, more, size > 0 AND words <= gap ORDER BY abs(words - gap), words DESC, rank) = 1) AS more1 FROM f0 JOIN g0 ON source IS NOT DISTINCT FROM of),
 g1 AS (SELECT source AS of1, any_value(gap) - coalesce(sum(words) FILTER (more1 AND NOT more), 0) AS gap1 FROM f1 GROUP BY source),
-f2 AS (SELECT f1.*, gap1, more1 OR (size > 0 AND words < 2 * gap1 AND row_number() OVER (PARTITION BY source, more1, size > 0 AND words < 2 * gap1 ORDER BY abs(words - gap1), words DESC, rank) = 1) AS more2 FROM f1 JOIN g1 ON source IS NOT DISTINCT FROM of1),
+f2 AS (SELECT f1.*, gap1, more1 OR (size > 0 AND words <= gap1 AND row_number() OVER (PARTITION BY source, more1, size > 0 AND words <= gap1 ORDER BY abs(words - gap1), words DESC, rank) = 1) AS more2 FROM f1 JOIN g1 ON source IS NOT DISTINCT FROM of1),
 g2 AS (SELECT source AS of2, any_value(gap1) - coalesce(sum(words) FILTER (more2 AND NOT more1), 0) AS gap2 FROM f2 GROUP BY source),
 f3 AS (SELECT f2.*, gap2, more2 OR (size > 0 AND words < 2 * gap2 AND row_number() OVER (PARTITION BY source, more2, size > 0 AND words < 2 * gap2 ORDER BY abs(words - gap2), words DESC, rank) = 1) AS more3 FROM f2 JOIN g2 ON source IS NOT DISTINCT FROM of2)
 SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN (whole + more3::BIGINT) * size ELSE 0 END::BIGINT AS taken
