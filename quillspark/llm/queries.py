@@ -15,9 +15,7 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = stored(warc.write_archives(warc.with_revisits(table(spark, sf_dir, "pages"))), "warc")
-    found = warc.read_archives(archives, payloads=False)
-    bad = F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")))
-    return found.select("page_id", "payload_bytes", "payload_digest", F.coalesce(bad.cast("string"), "record_type").alias("record_type"), "refers_to")
+    return warc.read_archives(archives, payloads=False, strict=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:

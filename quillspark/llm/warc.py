@@ -3,12 +3,13 @@
 write_archives() makes archives of bounded size as binary rows; each archive fits its own dictionary on its
 first records (at most DICT_RECORDS records and DICT_BYTES bytes; archives of few records go without).
 read_archives() loads the dictionary, decodes a frame for each record and checks what the formats promise:
-frame lengths, one record in a frame, header syntax, Content-Length, digests, closing blank lines.
+frame lengths, one record in a frame, header syntax, Content-Length, digests, closing blank lines. What the formats leave open is
+read as it comes: frames that don't state their size, HTTP responses in chunks or without a length, payloads without a digest.
 
 Defined results: null html is an empty payload; a null url leaves WARC-Target-URI out; records are named
 after their page id (``null`` for a null one); rows that share the largest page id of a group of equal
-payloads are all responses; page ids that are all null as well. An archive that breaks a rule gives a row
-with an error in place of its remaining records. Other columns are ignored.
+payloads are all responses; page ids that are all null as well. A record that breaks a rule, or that is longer than MAX_RECORD, gives a row with an error; reading goes on
+with the next frame, as long as the frames' own headers tell where it begins. A file gives a row for each archive in it. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from quillspark.llm import common
 REVISIT_BYTES = 1000
 #: Uncompressed bytes after which the next archive begins; what a dictionary is fitted on, and its size.
 ARCHIVE_BYTES, DICT_RECORDS, DICT_BYTES, DICT_SIZE, LEVEL = 32 << 20, 400, 2 << 20, 32 << 10, 3
+#: Bytes of a record at most, whatever its frame declares, and of a window that a frame may ask for.
+MAX_RECORD, MAX_WINDOW = 1 << 30, 1 << 27
 # fixed values of the formats
 SKIPPABLE, ZSTD_MAGIC, DICT_MAGIC = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -160,34 +163,80 @@ def parse_record(data: bytes) -> dict:
     lines = http.decode("latin-1").split("\r\n")
     if not found or not re.fullmatch(r"HTTP/\d\.\d \d{3}( .*)?", lines[0]):
         raise WarcError("no HTTP status line")
-    size = _length(_headers(lines[1:], "HTTP"), "HTTP")
-    algorithm, _, digest = head.get("warc-payload-digest", "").partition(":")
-    if algorithm != "sha1" or not re.fullmatch("[A-Z2-7]{32}", digest):
-        raise WarcError("no sha1 payload digest")
-    raw = base64.b32decode(digest)
-    if head["warc-type"] == "revisit":
+    fields = _headers(lines[1:], "HTTP")
+    revisit = head["warc-type"] == "revisit"
+    if "chunked" in fields.get("transfer-encoding", "").lower() and not revisit:
+        payload, size = _unchunked(payload), None
+    else:
+        size = _length(fields, "HTTP") if "content-length" in fields else None
+    stated = head.get("warc-payload-digest", "")
+    algorithm, _, digest = stated.partition(":")
+    raw = None
+    if algorithm.lower() == "sha1":
+        if not re.fullmatch("[A-Z2-7]{32}", digest.upper()):
+            raise WarcError("the sha1 payload digest is malformed")
+        raw = base64.b32decode(digest.upper())
+    if revisit:
         if payload or not head.get("warc-refers-to") or not head.get("warc-profile"):
             raise WarcError("a revisit has no payload, names its profile and what it refers to")
-    elif size != len(payload) or hashlib.sha1(payload).digest() != raw:
+        return out | {"payload_bytes": size, "digest": None if raw is None else raw.hex()}
+    found = hashlib.sha1(payload).digest()
+    # some writers take the digest of a chunked payload as it was sent
+    if size not in (None, len(payload)) or raw not in (None, found, hashlib.sha1(block.partition(b"\r\n\r\n")[2]).digest()):
         raise WarcError("the payload doesn't have its length or digest")
-    else:
-        out["payload"] = payload
-    return out | {"payload_bytes": size, "digest": raw.hex()}
+    return out | {"payload": payload, "payload_bytes": len(payload), "digest": found.hex()}
+
+
+def _unchunked(data: bytes) -> bytes:
+    """The payload of an HTTP response in chunks."""
+    out, at = [], 0
+    while True:
+        end = data.find(b"\r\n", at)
+        size = re.match(rb"[0-9A-Fa-f]{1,8}", data[at:end]) if end >= 0 else None
+        if not size:
+            raise WarcError("a malformed chunk")
+        n = int(size[0], 16)
+        if not n:
+            return b"".join(out)
+        at = end + 2 + n
+        if data[at : at + 2] != b"\r\n":
+            raise WarcError("a chunk doesn't have its length")
+        out.append(data[end + 2 : at])
+        at += 2
+
+
+def decoded(d: zstandard.ZstdDecompressor, frame, most: int = MAX_RECORD) -> bytes:
+    """A frame's bytes, by stream: what it declares is not allocated beforehand."""
+    out, size = [], 0
+    with d.stream_reader(frame, read_size=1 << 16) as f:
+        while part := f.read(1 << 20):
+            out.append(part)
+            size += len(part)
+            if size > most:
+                raise WarcError(f"a record of more than {most} bytes")
+    found = b"".join(out)
+    declared = zstandard.frame_content_size(frame[:18])
+    if declared not in (-1, len(found)):
+        raise WarcError(f"the frame declares {declared} bytes and has {len(found)}")
+    return found
 
 
 def read_archive(data: bytes):
-    """The records of an archive, checked, one after another."""
+    """The records of an archive, checked, one after another; in place of a record that breaks a rule its WarcError."""
     fitted, at = _dictionary(data)
-    d = zstandard.ZstdDecompressor(dict_data=fitted)
+    d = zstandard.ZstdDecompressor(dict_data=fitted, max_window_size=MAX_WINDOW)
     view = memoryview(data)
     while at < len(data):
+        if len(data) - at >= 8 and struct.unpack_from("<I", data, at)[0] >> 4 == SKIPPABLE >> 4:  # frames that others have put in between
+            at += 8 + struct.unpack_from("<I", data, at + 4)[0]
+            continue
         end = frame_end(data, at)
-        if zstandard.frame_content_size(view[at : at + 18]) < 0:
-            raise WarcError(f"the frame at byte {at} doesn't say its length")
         try:
-            yield parse_record(d.decompress(view[at:end]))
-        except (zstandard.ZstdError, UnicodeDecodeError) as e:
-            raise WarcError(f"the frame at byte {at}: {e}") from None
+            yield parse_record(decoded(d, view[at:end]))
+        except WarcError as e:
+            yield WarcError(f"the frame at byte {at}: {e}")
+        except (zstandard.ZstdError, UnicodeDecodeError, MemoryError) as e:
+            yield WarcError(f"the frame at byte {at}: {e}")
         at = end
 
 
@@ -225,8 +274,9 @@ def write_archives(rows: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataF
     return common.map_batches(rows, run, "records long, archive binary")
 
 
-def read_archives(archives: DataFrame, column: str = "archive", payloads: bool = True) -> DataFrame:
-    """A row for each record of each archive: page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload, error."""
+def read_archives(archives: DataFrame, column: str = "archive", payloads: bool = True, strict: bool = False) -> DataFrame:
+    """A row for each record of each archive: page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload, error. strict: an error
+    ends the job, whatever columns are read."""
     names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload", "error"]
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string()]
 
@@ -241,6 +291,11 @@ def read_archives(archives: DataFrame, column: str = "archive", payloads: bool =
                 out, size = [], 0
                 try:
                     for r in read_archive(data.as_py() or b""):
+                        if isinstance(r, WarcError):
+                            if strict:
+                                raise RuntimeError(str(r))
+                            out.append((*[None] * 7, str(r)))
+                            continue
                         h = r["headers"]
                         out.append((number(h["warc-record-id"]), h.get("warc-target-uri"), r["type"], r["payload_bytes"], r["digest"], number(h.get("warc-refers-to")), r["payload"] if payloads else None, None))
                         size += len(out[-1][6] or b"") + 200
@@ -248,7 +303,9 @@ def read_archives(archives: DataFrame, column: str = "archive", payloads: bool =
                             yield batch_of(out)
                             out, size = [], 0
                 except WarcError as e:
-                    out.append((None, None, None, None, None, None, None, str(e)))
+                    if strict:
+                        raise RuntimeError(str(e)) from None
+                    out.append((*[None] * 7, str(e)))
                 yield batch_of(out)
 
     return common.map_batches(archives.select(column), run, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, error string")
