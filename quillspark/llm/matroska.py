@@ -1,8 +1,9 @@
 """Matroska as media columns: EBML elements, clusters, lacing and cues, written and parsed without a library.
 
 A media column holds whole files as binary. read_file() parses variable-length EBML elements (known and
-unknown sizes, Void and CRC-32 skipped) into tracks, cues and packets; a packet is a frame with its time,
-track and byte range, after Xiph, EBML or fixed-size lacing is undone. Malformed data raise MatroskaError,
+unknown sizes, Void skipped, CRC-32 checked) into tracks, cues and packets; a packet is a frame with its time,
+track and byte range, after Xiph, EBML or fixed-size lacing is undone. A simple block says itself whether it is a keyframe; one of a group is if the
+group refers to no other block. Malformed data raise MatroskaError,
 which the packet table turns into a row with an error and no packet.
 
 Defined results: a null payload is an empty one; an empty payload is padded to one whole frame by the query;
@@ -28,7 +29,7 @@ EBML, EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE, DOC_TYPE, DOC
 SEGMENT, INFO, TIMESTAMP_SCALE, DURATION, MUXING_APP, WRITING_APP = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489, 0x4D80, 0x5741
 TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING, CODEC_ID, DEFAULT_DURATION = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86, 0x23E383
 AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
-CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
+CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE_BLOCK, BLOCK_DURATION, CRC_32 = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0xFB, 0x9B, 0xBF
 CUES, CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 TOP_LEVEL = {CLUSTER, CUES, INFO, TRACKS, 0x114D9B74, 0x1941A469, 0x1043A770, 0x1254C367}
 
@@ -130,7 +131,10 @@ def _vint(data, at: int, end: int, marker: bool) -> tuple[int | None, int]:
 
 def elements(data, at: int, end: int, stop=frozenset()) -> Iterator[tuple[int, int, int]]:
     """(id, start, end) of the elements' bodies."""
-    for ident, _, body, stop_at in placed_elements(data, at, end, stop):
+    for k, (ident, begins, body, stop_at) in enumerate(placed_elements(data, at, end, stop)):
+        if ident == CRC_32 and k == 0 and not stop:  # the first element of its parent holds for all that follow in that
+            if stop_at - body != 4 or zlib.crc32(data[stop_at:end]) != int.from_bytes(data[body:stop_at], "little"):
+                raise MatroskaError(f"the CRC-32 at byte {begins} doesn't hold")
         yield ident, body, stop_at
 
 
@@ -260,19 +264,20 @@ def read_file(data: bytes) -> dict:
             elif i == CLUSTER:
                 n, base = len(clusters), 0
                 clusters[begins - segment] = n
-                for j, e, f in elements(data, c, d, TOP_LEVEL):
-                    blocks = [(e, f)] if j == SIMPLE_BLOCK else []
+                for j, e, f in elements(data, c, d):
+                    blocks, refers = [(e, f)] if j == SIMPLE_BLOCK else [], None
                     if j == TIMESTAMP:
                         base = _number(data, e, f)
                     elif j == BLOCK_GROUP:
-                        blocks = [(g, h) for k, g, h in elements(data, e, f) if k == BLOCK]
+                        parts = list(elements(data, e, f))
+                        blocks, refers = [(g, h) for k, g, h in parts if k == BLOCK], any(k == REFERENCE_BLOCK for k, _, _ in parts)
                     for g, h in blocks:
                         number, time, flags, frames = block_frames(data, g, h)
                         if number not in tracks:
                             raise MatroskaError(f"a block of track {number}, which isn't declared")
                         step = tracks[number]["default_ns"]
                         for k, (x, y) in enumerate(frames):
-                            packets.append((number, ((base + time) * scale + k * step) // 1_000_000, x, y, n, bool(flags & 0x80)))
+                            packets.append((number, ((base + time) * scale + k * step) // 1_000_000, x, y, n, bool(flags & 0x80) if refers is None else not refers))
             elif i == CUES:
                 for j, e, f in elements(data, c, d):
                     if j == CUE_POINT:
