@@ -36,6 +36,8 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Dimensions and counts of the hashed letter bigrams and trigrams of the lower-cased text."""
     words = _LETTERS.findall((text or "").lower())
+    if any(not w.isalpha() for w in words):  # digits and numbers that \d doesn't know aren't letters
+        words = "".join(c if c.isalpha() else " " for c in " ".join(words)).split()
     if not words:
         return np.zeros(0, np.int64), np.zeros(0)
     u = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), np.uint32)
