@@ -3,7 +3,7 @@
 Glob rules are packed into multiword Shift-And masks: a bit for each position of each pattern, 64 to a word.
 All patterns of all rules run at once over every URL, and over a whole batch of URLs at once: for each
 character the states move on by a shift, masked by that character's positions, and wildcard positions hold
-their own. ``*`` stands for any characters but ``/``, ``**`` for any characters at all, ``?`` for one.
+their own. ``*`` stands for any characters but ``/``, ``**`` for any characters at all, ``?`` for one, of however many bytes in UTF-8.
 
 Defined results: host and path are empty for a null url or one without ``://``; no rule then fits. Of the
 rules that fit, the longest wins; of equally long ones, block before allow, then the first by code point. Where
@@ -49,6 +49,7 @@ class Automaton:
         starts, finals, bit = [], [], 0
         steps: list[tuple[int, object]] = []  # (bit, character it takes or None for any)
         loops: list[tuple[int, bool]] = []  # (bit, whether it also holds over /)
+        tails: list[int] = []  # bits that hold over the further bytes of the character that they took
         for g in globs:
             starts.append(bit)
             i, data = 0, g.encode()
@@ -63,7 +64,9 @@ class Automaton:
                     i += 1
                     c = data[i : i + 1]
                 bit += 1
-                steps.append((bit, None if c == b"?" and data[i - 1 : i] != b"\\" else c[0]))
+                anything = c == b"?" and data[i - 1 : i] != b"\\"
+                steps.append((bit, None if anything else c[0]))
+                tails += [bit] * anything
                 i += 1
             finals.append(bit)
             bit += 1
@@ -73,8 +76,9 @@ class Automaton:
         self.step = np.zeros((257, self.words), np.uint64)
         self.hold = np.zeros((257, self.words), np.uint64)
         for c in range(256):
-            self.step[c] = self._mask([b for b, x in steps if x is None or x == c])
-            self.hold[c] = self._mask([b for b, wide in loops if wide or c != ord("/")])
+            further = 0x80 <= c < 0xC0
+            self.step[c] = self._mask([b for b, x in steps if x == c or x is None and not further])
+            self.hold[c] = self._mask({*(b for b, wide in loops if wide or c != ord("/")), *(tails if further else [])})
         self.hold[_END] = ~np.uint64(0)  # after its end a URL keeps its states
 
     def _mask(self, bits) -> np.ndarray:
