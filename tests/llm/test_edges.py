@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,9 @@ def test_languages(spark, docs):
     assert len(got) == len(ROWS)
     assert [r["lang_pred"] for r in got if r["doc_id"] in (1, 2, 3)] == ["und"] * 3
     assert {r["score"] for r in got if r["lang_pred"] == "und"} == {0.0}
+    assert {r["lang_pred"] for r in langid.identify(spark.createDataFrame([(i, t) for i, t in enumerate(["² ½ ① Ⅷ 12", "…—!", "٣٤"])], "doc_id long, text string"), model, reject=False).collect()} == {"und"}
+    alike = spark.createDataFrame([(i, "the same words", lang) for i, lang in enumerate(["zz", "aa"] * 20)], "doc_id long, text string, lang string")
+    assert {(r["lang_pred"], round(r["score"], 6)) for r in langid.identify(alike, langid.fit(alike), reject=False).collect()} == {("aa", 1.0)}  # of equal cosines the first
     nothing = langid.fit(docs.limit(0))
     assert {r["lang_pred"] for r in langid.identify(docs, nothing).collect()} == {"und"}
 
@@ -81,7 +85,10 @@ def test_toxicity(spark, docs):
     labels = spark.createDataFrame([(0, 1), (0, 0), (2, 0), (3, 0), (6, 0), (7, None), (None, 1), (99, 1), (8, 5)], "doc_id long, toxic int")
     got = toxicity.score_documents(docs, toxicity.fit(docs, labels)).collect()
     assert len(got) == len(ROWS) and all(0 <= r["score"] <= 1 for r in got)
+    assert len({r["score"] for r in got if r["doc_id"] in (4, 5)}) == 1  # equal texts
     assert {r["score"] for r in toxicity.score_documents(docs, toxicity.fit(docs, labels.limit(0))).collect()} == {0.0}
+    long = toxicity.sample(docs, spark.createDataFrame([(4, 1), (0, 0), (5, 0)], "doc_id long, toxic int"), F.lit(True)).collect()
+    assert {r["id"] for r in long} == {0, 4}  # of a class that has only longer documents, these
     assert toxicity.fit(docs.limit(0), labels) is None
 
 
@@ -104,6 +111,30 @@ def test_mixing(spark, docs):
     assert copies.columns == docs.columns and copies.count() == sum(r["copies"] for r in got)
 
 
+def test_packing_of_many_sources_keeps_their_shares(spark):
+    """1,100 sources: every window holds of any tenth of them that tenth's tokens, to a few quanta."""
+    docs = spark.range(6600).select(F.col("id").alias("doc_id"), (F.col("id") % 1100).cast("string").alias("source"), F.repeat(F.lit(" word"), 319).alias("text"))
+    rows = packing.pack(docs, slot=64).select((F.floor(F.col("source").cast("int") / 110)).alias("tenth"), "sequence_id", "length", "source").collect()
+    full, sources = {}, {}
+    for r in rows:
+        full.setdefault(r["sequence_id"], []).append(r)
+        sources.setdefault(r["source"], set()).add(r["sequence_id"])
+    assert sum(r["length"] for r in rows) == 6600 * 320 and all(sum(r["length"] for r in x) <= 2048 for x in full.values())
+    spread = [max(s) - min(s) for s in sources.values()]
+    assert min(spread) > 0.9 * len(full)  # every source is served from the first windows to the last
+
+
+def test_packing_to_targets(spark):
+    """Of two sources of like size, one at three times the other's weight: three quarters of each window until it is empty."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"), F.repeat(F.lit(" word"), 511).alias("text"))
+    shares = {}
+    for r in packing.pack(docs, weights={"a": 3, "b": 1}).collect():
+        shares.setdefault(r["sequence_id"], {"a": 0, "b": 0})[r["source"]] += r["length"]
+    early = [shares[k]["a"] for k in range(60)]
+    assert set(early) <= {1408, 1536, 1664} and np.mean(early) == pytest.approx(1536, abs=16)
+    assert all(shares[k]["b"] == 2048 for k in range(70, 95))
+
+
 def test_simhash(spark, docs):
     got = simhash.near_groups(docs).collect()
     assert len(got) == len(ROWS)
@@ -134,8 +165,8 @@ def test_packing(spark, docs):
     done = packing.sequences(got).collect()
     assert sum(len(r["ids"]) // 4 for r in done) == sum(r["tokens"] for r in done) == got.agg(F.sum("length")).first()[0]
     assert all(r["tokens"] == 2048 or r["tokens"] & (r["tokens"] - 1) == 0 for r in done)
-    pooled = packing.pack(docs, queues=1)
-    assert pooled.agg(F.sum("length")).first()[0] == sum(r["tokens"] for r in done)
+    weighed = packing.pack(docs, weights={"a": 3, None: 0.5})
+    assert weighed.agg(F.sum("length")).first()[0] == sum(r["tokens"] for r in done)
     assert packing.pack(docs.limit(0)).count() == 0
 
 
@@ -147,3 +178,19 @@ def test_stages(spark, docs, tmp_path):
             now = stage(spark, now, str(tmp_path))
             assert now.columns == docs.columns, name
         assert (corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).count() > 0) == (now.count() > 0)
+
+
+@pytest.mark.parametrize("ids", ["outlier", "null", "dense", "uneven"])
+def test_buckets_hold_few_documents_however_ids_are_spread(spark, ids):
+    """One outlying id, ids that are all null, and ids in clumps: no bucket holds many, and each document has its next."""
+    n = 6000
+    made = {"outlier": F.when(F.col("id") == 7, F.lit(1 << 60)).otherwise(F.col("id")), "null": F.lit(None).cast("long"), "dense": F.col("id"), "uneven": F.col("id") * F.col("id") * F.col("id") - 9_000_000}
+    docs = spark.range(n).select(made[ids].alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    rows = docs.withColumn("h", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)))
+    most = rows.groupBy(fingerprints._buckets(rows)).count().agg(F.max("count")).first()[0]
+    assert most <= 3 * fingerprints.BUCKET
+    got = fingerprints.with_next(docs, F.length).collect()
+    assert len(got) == n and len({r["next_text"] for r in got}) == n
+    if ids != "null":
+        order = [r["text"] for r in sorted(got, key=lambda r: -r["doc_id"])]
+        assert [r["next_text"] for r in sorted(got, key=lambda r: -r["doc_id"])] == [*order[1:], order[0]]

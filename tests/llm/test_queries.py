@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from quillspark.llm import matroska
 from quillspark.llm import queries as Q
 from tests.helpers import assert_same, duck
 
@@ -74,7 +75,17 @@ def test_media(spark, sf_dir, texts):
         payload = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
         r = got[d]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
-        assert r["media_bytes"] > len(payload)
+        media = matroska.write_file(payload)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        x = np.frombuffer(payload, np.uint8).astype(int) - 128
+        said = dict(kv.split("=") for kv in r["feature"].split(";"))
+        assert (int(said["packets"]), int(said["clusters"]), int(said["cues"]), int(said["sum"]), int(said["energy"])) == (len(payload) // 192, -(-len(payload) // 49152), -(-len(payload) // 49152), x.sum(), (x * x).sum())
+        assert int(said["crossings"]) == np.count_nonzero((x[1:] < 0) != (x[:-1] < 0))
+        assert float(said["last_ms"]) == (len(payload) // 192 - 1) * 24 and float(said["duration_ms"]) == len(payload) / 8
+    by_text = defaultdict(set)
+    for d, r in got.items():
+        by_text[texts[d]].add((r["media_sha256"], r["feature"], r["media_bytes"]))
+    assert all(len(v) == 1 for v in by_text.values())
 
 
 def test_languages(spark, sf_dir, con):
@@ -126,7 +137,6 @@ def test_packing(spark, sf_dir, con, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     source = dict(con.sql("SELECT doc_id, source FROM documents").fetchall())
     pieces = defaultdict(list)
     filled = defaultdict(list)
