@@ -198,7 +198,8 @@ def pack(docs: DataFrame, window: int = WINDOW, slot: int = SLOT, weights: dict
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select(F.col("source").alias("of"), F.col("part").alias("of_part"), F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
     own = by_source.select(F.col("source").alias("name"), "weight", "quanta", "number", "tails")
-    base = base.join(own, base.of.eqNullSafe(own["name"])).drop("name")
+    # stored, so that Spark knows its size and needn't shuffle the ids where it is small
+    base = common.stored(base.join(own, base.of.eqNullSafe(own["name"])).drop("name"), "places")
     sent = docs.sparkSession.sparkContext.broadcast((layout, order))  # as many rows as different lengths
     small = "<u2" if tokenizer is None else None
 
