@@ -6,7 +6,7 @@ threshold is the same for all documents, so the sketch of a union is the union o
 
 Defined results: null text is empty; a text of fewer than five words is one shingle of all its
 words; no words give an empty sketch. Two empty sketches are alike (1.0) only if their texts are equal.
-Rows that share a doc_id are ordered by text; null ids come last. Other columns are ignored.
+Rows that share a doc_id are ordered by text; null ids come last, by a hash of the text, then the text. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 #: Words of a shingle, and the share of the hash range that is retained: one in SCALE.
 SHINGLE, SCALE = 5, 4
-#: Documents that share a bucket when ids are spread evenly.
-BUCKET = 512
+#: Documents of a bucket of neighbouring ids, and quantiles of the ids by which buckets are cut, at most (a square number).
+BUCKET, QUANTILES = 512, 4096
 
 
 def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
@@ -65,6 +65,32 @@ def fingerprint(sk: Column, tag: Column, shingle: int = SHINGLE, scale: int = SC
     return F.concat(F.lit(f"k{shingle}s{scale}:"), _hex(tag), F.lit(":"), F.array_join(F.transform(sk, _hex), ""))
 
 
+def _buckets(docs: DataFrame) -> Column:
+    """A bucket for each row of docs (doc_id long, text, h): the greater, the earlier in order. Buckets are cut at quantiles of the ids, so that they are
+    as full however ids are spread, and between two quantiles by an even division of their span; null ids by their texts' hashes."""
+    n, ids = docs.agg(F.count("*"), F.count("doc_id")).first()
+    cuts = min(QUANTILES, max(1, math.ceil(ids / BUCKET)))
+    found = docs.agg(F.percentile_approx("doc_id", [i / cuts for i in range(cuts + 1)], 4 * cuts + 100)).first()[0] or [0]
+    low = sorted(set(found[:-1])) or [0]
+    high = [*low[1:], max(found[-1], low[-1]) + 1]
+    each = max(1, math.ceil(ids / len(low) / BUCKET))  # buckets between two quantiles
+    # two steps of some sixty comparisons find the quantile below an id; a list of numbers is one literal, folded when the query is planned
+    root = math.isqrt(len(low) - 1) + 1
+    longs = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
+    upto = lambda xs, x: F.greatest(F.lit(1), F.size(F.filter(xs, lambda c: c <= x)))
+    row = upto(longs(low[::root]), F.col("doc_id"))
+    place = F.transform(F.array(row), lambda i: (i - 1) * root + upto(F.slice(longs(low), (i - 1) * root + 1, root), F.col("doc_id")))[0]
+    wide = lambda c: c.cast("decimal(38,0)")
+    if each > 1:
+        part = lambda i: F.floor((wide(F.col("doc_id")) - wide(F.element_at(longs(low), i))) * each / (wide(F.element_at(longs(high), i)) - wide(F.element_at(longs(low), i)))).cast("long")
+        of_id = F.transform(F.array(place), lambda i: i.cast("long") * each + F.least(F.lit(each - 1), F.greatest(F.lit(0), part(i))))[0]
+    else:
+        of_id = place.cast("long")
+    span = (1 << 64) // max(1, math.ceil((n - ids) / BUCKET)) + 1
+    of_null = F.floor((wide(F.col("h")) - wide(F.lit(str(1 << 63)))) / wide(F.lit(str(span)))).cast("long")  # below 0
+    return F.when(F.col("doc_id").isNull(), of_null).otherwise(of_id)
+
+
 def with_next(docs: DataFrame, make) -> DataFrame:
     """Each document (doc_id, text) with make(text) and what follows it by descending doc_id: next_text, next_made.
 
@@ -72,26 +98,26 @@ def with_next(docs: DataFrame, make) -> DataFrame:
     texts, windows of some BUCKET rows. Only the first text of each bucket goes on to the bucket before,
     and which that is comes from a table of buckets, itself ordered in groups of buckets.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n, low, high = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    width = max(1, math.ceil((high - low + 1) * BUCKET / max(1, n)))
-    place = lambda c, by: F.floor((c.cast("decimal(38,0)") - F.lit(low).cast("decimal(38,0)")) / F.lit(by).cast("decimal(38,0)")).cast("long")
-    ids = docs.select(F.coalesce(place(F.col("doc_id"), width), F.lit(-1)).alias("b")).distinct().withColumn("s", F.floor(F.col("b") / 4096))
+    kind = docs.schema["doc_id"].dataType
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("h", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)))
+    docs = docs.withColumn("b", _buckets(docs))
+    ids = docs.select("b").distinct().withColumn("s", F.floor(F.col("b") / 4096))
     inside = Window.partitionBy("s").orderBy(F.desc("b"))
     groups = ids.groupBy("s").agg(F.max("b").alias("first_b"))
     over = Window.orderBy(F.desc("s"))  # a row for each 4096 buckets of 512 documents
     groups = groups.select("s", F.coalesce(F.lead("first_b").over(over), F.max("first_b").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("next_first"))
     follows = ids.withColumn("next_b", F.lead("b").over(inside)).join(groups, "s").select(F.col("b").alias("from_b"), F.coalesce("next_b", "next_first").alias("next_b"))
 
-    dealt = docs.withColumn("b", F.coalesce(place(F.col("doc_id"), width), F.lit(-1))).repartition("b")
-    order = F.struct(F.col("doc_id").isNull(), -F.col("doc_id").cast("decimal(38,0)"), "text")
+    dealt = docs.repartition("b")
+    order = F.struct(F.col("doc_id").isNull(), F.bitwise_not("doc_id"), F.bitwise_not("h"), "text")
     heads = dealt.groupBy("b").agg(F.min_by("text", order).alias("head_text"))
     heads = follows.join(heads, follows.next_b == heads.b).select("from_b", "head_text", make(F.col("head_text")).alias("head_made"))
-    w = Window.partitionBy("b").orderBy(F.col("doc_id").desc_nulls_last(), "text")
+    w = Window.partitionBy("b").orderBy(F.col("doc_id").desc_nulls_last(), F.desc("h"), "text")
     rows = dealt.withColumn("made", make(F.col("text"))).select("*", F.lead("text").over(w).alias("lead_text"), F.lead("made").over(w).alias("lead_made"))
     last = F.col("lead_text").isNull()
-    return rows.join(heads, (rows.b == heads.from_b) & last, "left").select("doc_id", "text", "made", F.coalesce("lead_text", "head_text").alias("next_text"), F.coalesce("lead_made", "head_made").alias("next_made"))
+    met = rows.join(heads, (rows.b == heads.from_b) & last, "left")
+    return met.select(F.col("doc_id").cast(kind).alias("doc_id"), "text", "made", F.coalesce("lead_text", "head_text").alias("next_text"), F.coalesce("lead_made", "head_made").alias("next_made"))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
