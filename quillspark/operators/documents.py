@@ -8,6 +8,7 @@ from pyspark.sql import Window
 
 from quillspark.functions import patterns as P
 from quillspark.functions import text as T
+from quillspark.operators.translate import stored
 
 MAX_UPLOAD = 100 * 1024 * 1024
 #: Statuses, and those in which a document is being worked on.
@@ -55,15 +56,14 @@ def status_label(status: Column) -> Column:
 
 def numbered_pages(docs: DataFrame, order: list[Column], size: int = 10) -> DataFrame:
     """docs with place and page (1-based) in an order over all documents. Ranges of the order are ranked each by itself, and the
-    ranges' sizes added up, so that no task orders all documents."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.struct(*order).alias("__key")
-    rows = docs.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()).withColumn("__key", key)
+    ranges' sizes added up, so that no task orders all documents. Spark samples the ranges' bounds anew each time that they are computed, so
+    the rows are stored with their range: sizes and ranks are those of the same ranges."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = stored(docs.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()))
     parts = rows.groupBy("__part").agg(F.count("*").alias("__n"))
     before = parts.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     place = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) + F.col("__before")
-    return rows.join(before, F.col("__part") == F.col("__p")).withColumn("place", place).withColumn("page", F.floor((F.col("place") - 1) / size) + 1).drop("__part", "__p", "__before", "__key")
+    return rows.join(before, F.col("__part") == F.col("__p")).withColumn("place", place).withColumn("page", F.floor((F.col("place") - 1) / size) + 1).drop("__part", "__p", "__before")
 
 
 def assembled(pages: DataFrame, files: DataFrame) -> DataFrame:

@@ -113,6 +113,14 @@ def test_pages_of_a_listing(spark):
     assert [(r["created"], r["id"]) for r in got] == sorted(((r["created"], r["id"]) for r in got), key=lambda x: (-x[0], x[1]))
 
 
+def test_pages_of_a_listing_are_numbered_by_the_ranges_that_are_ranked(spark):
+    """A column that only the result needs: Spark would sample other bounds for the ranges' sizes than for the ranks."""
+    docs = spark.range(20000).select("id", (F.col("id") * 7919 % 10007).alias("created"), F.concat(F.lit("paper "), F.col("id").cast("string")).alias("name"))
+    got = D.numbered_pages(docs.repartition(5), [F.desc("created"), F.asc("id")]).select("id", "name", "place", "page").orderBy("place").collect()
+    want = sorted(range(20000), key=lambda i: (-(i * 7919 % 10007), i))
+    assert [(r["id"], r["place"], r["page"]) for r in got] == [(d, i + 1, i // 10 + 1) for i, d in enumerate(want)]
+
+
 @pytest.mark.parametrize("name, size, ok", [("a.PDF", 10, True), ("a.pdf", 104857600, True), ("a.pdf", 104857601, False), ("a.txt", 1, False)])
 def test_admission(spark, name, size, ok):
     assert spark.createDataFrame([(name, size)], "n string, s long").select(D.admitted(F.col("n"), F.col("s"))).first()[0] is ok
