@@ -5,6 +5,9 @@ UNIT = r"(?:dBm|dBc/Hz|dB/Hz|dBc|dB|[GMk]?S/s|[GMk]?b/s|[GMk]?bps|[GMk]?Hz|[fpnu
 NUMBER = r"(?:[+−-]?\d+(?:\.\d+)?(?:[eE][+−-]?\d+)?(?:[⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻]+|\^[+−-]?\d+)?)"
 QUANTITY = r"(?<![A-Za-z0-9_.])" + NUMBER + r"[ \t  ]*" + UNIT + r"(?![A-Za-z0-9])"
 NUMERIC = r"(?<![A-Za-z])(?:\d+(?:\.\d+)?(?:\s*[×xX]\s*10\^?-?\d+)?|\d+(?:\.\d+)?)(?:\s*(?:%|mm²|mm2|µm|um|nm|Gb/s|Gbps|Mb/s|Mbps|kHz|MHz|GHz|dB|mW|µW|uW|V|mV|µV|uV|A|mA|µA|uA|Ω|ohm|°C|K))?(?![A-Za-z])"
+#: A number that is taken with the characters around it, for texts whose blanks and separators are doubled (functions.text.numbers_apart): the
+#: ends of words and blanks are ASCII's.
+NUMERIC_APART = r"(?:^|[^A-Za-z])(" + NUMERIC.removeprefix("(?<![A-Za-z])").removesuffix("(?![A-Za-z])").replace(r"\s", r"[\t\n\f\r ]") + r")(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|[^A-Za-z]|\z)"
 CITATION = r"\[\d+(?:\s*[,–-]\s*\d+)*\]|\(\d{4}\)"
 FIGURE = r"(?iu)\b(?:Fig\.?|Figure|Table|Eq\.?|Equation)\s*\.?\s*(?:[IVXLC]+|\d+)[A-Za-z]?(?:\([a-z]\))?(?![A-Za-z0-9])"
 FIGURE_LOCALISED = r"(?iu)(?:Fig\.?|Figure|图|Table|表|Eq\.?|Equation|式)\s*\.?\s*(?:[IVXLC]+|\d+)[A-Za-z]?(?:\s*[\(（][a-z][\)）])?"
