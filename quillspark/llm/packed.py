@@ -76,10 +76,14 @@ def ids_of(base: int, data: bytes, n: int) -> np.ndarray:
     return unpacked(data, len(data) // n).astype(np.int64) + base
 
 
+#: Rows of a batch that whole_groups() turns into Python's objects at once.
+ROWS_AT_ONCE = 256
+
+
 def whole_groups(batches, columns):
-    """(key, columns) of all rows of a key, of batches that are ordered by their first column."""
+    """(key, columns) of all rows of a key, of batches that are ordered by their first column. A batch may be all that a task reads, so that it is taken in slices."""
     key, held = None, []
-    for batch in batches:
+    for batch in (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE)):
         rows = [batch.column(c).to_pylist() for c in columns]
         for row in zip(*rows, strict=True):
             if row[0] != key and held:

@@ -34,8 +34,8 @@ from quillspark.llm import common
 from quillspark.llm.packed import MAX_BITS, MULTIPLIERS, groups, ids_of, packed, rolling, rows_by_bucket, unpacked, whole_groups, word_hashes
 
 LENGTH, BLOCK = 50, 25
-#: Documents for each bucket.
-DOCS_PER_BUCKET = 1024
+#: Documents for each bucket: so few that tasks get many buckets each, and none much more than the others.
+DOCS_PER_BUCKET = 256
 _BLOCK_BITS = 39
 
 
