@@ -15,7 +15,7 @@ from quillspark.operators import translate as M
 
 def going() -> Column:
     """Whether a block goes to the model; others are passed through."""
-    return F.col("translate") & (T.stripped(F.col("text")) != "")
+    return F.col("translate") & F.col("text").rlike(r"\S")
 
 
 def failed(translated: Column) -> Column:

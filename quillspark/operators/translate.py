@@ -175,12 +175,12 @@ def map_model(rows: DataFrame, translator: Translator, text: str = "text") -> Da
 
 def masked_translation(rows: DataFrame, translator: Translator, text: str = "text") -> DataFrame:
     """Atoms are masked before the model and put back after it; a reply that lost one, or that breaks fidelity, is an error."""
-    masked = rows.withColumn("__m", T.mask(F.col(text))).withColumn("__masked", F.col("__m.masked"))
+    masked = rows.withColumn("__m", T.mask(F.col(text))).select(*rows.columns, F.col("__m.masked").alias("__masked"), F.col("__m.atoms").alias("__atoms"))
     done = map_model(masked, translator, "__masked")
-    back = T.unmask(F.col("translated"), F.col("__m.atoms"))
+    back = T.unmask(F.col("translated"), F.col("__atoms"))
     done = done.withColumn("__back", F.when(F.col("error").isNull(), back))
     error = F.coalesce(F.col("error"), F.when(F.col("__back").isNull(), F.lit("模型遗漏或重复了公式、图注编号或科学符号")), T.hard_error(F.col(text), F.col("__back")))
-    return done.withColumn("error", error).withColumn("translated", F.when(F.col("error").isNull(), F.col("__back")).otherwise(F.concat(F.lit(P.FAILED + " "), "error", F.lit("]")))).drop("__m", "__masked", "__back")
+    return done.withColumn("error", error).withColumn("translated", F.when(F.col("error").isNull(), F.col("__back")).otherwise(F.concat(F.lit(P.FAILED + " "), "error", F.lit("]")))).drop("__masked", "__atoms", "__back")
 
 
 def staged_translation(rows: DataFrame, translator: Translator, retries: int = 2, text: str = "text", folder: str | None = None) -> DataFrame:

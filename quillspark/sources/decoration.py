@@ -63,8 +63,9 @@ BLOCKS_SQL = "b AS (" + _LAID.replace("{parts}", "(" + _PARTS.replace("{lines}",
 def blocks(docs: DataFrame) -> DataFrame:
     """A row for each block: doc_id, ord, page, source_id, type, translate, geometry, text and a translation of it.
     Null texts have no blocks; null ids count as 0 in the rules."""
-    raw = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "raw"))
-    lines = raw.select("doc_id", F.col("no").cast("long").alias("no"), F.trim(F.regexp_replace("raw", r"[ \t\r]+", " ")).alias("line")).where("line <> ''")
+    # lines are squeezed before they become rows: Spark would do it once more for the filter
+    raw = docs.select("doc_id", F.posexplode(F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t\r]+", " ")))).alias("no", "line"))
+    lines = raw.select("doc_id", F.col("no").cast("long").alias("no"), "line").where("line <> ''")
     number = F.coalesce("doc_id", F.lit(0))
     lines = lines.select("*", ((number * 7 + F.col("no")) % 10).alias("k"), (F.col("no") % 9 + 1).alias("m"), (number % 90 + 10).alias("n"))
     fill = lambda x: F.replace(F.replace(F.lit(x), F.lit("{m}"), F.col("m").cast("string")), F.lit("{n}"), F.col("n").cast("string"))
